@@ -58,3 +58,8 @@ def sliced(batches: Iterator[pa.RecordBatch], by: str, most: int = SLICE_BYTES)
 def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The column's texts in UTF-8, null as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
+
+
+def let(value: Column, then) -> Column:
+    """then(value), where the value is worked out once for a row: as an array of one that a lambda maps."""
+    return F.get(F.transform(F.array(value), then), 0)
