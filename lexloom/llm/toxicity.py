@@ -1,13 +1,16 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-A toxic and an ordinary bigram model give every word a log-likelihood ratio; its mean over a text,
-calibrated, is the score. Each class interpolates discounted bigrams with its own continuation counts, and
-these with continuation counts that both classes share, so that expressions that one class has
-hardly seen are judged by how words behave in both.
+A toxic and an ordinary bigram model give every word a log-likelihood ratio. A text's ratio is the
+largest mean over PASSAGE words in a row, as a few words may stand in a long text; calibrated, it is the
+score. Each class interpolates discounted bigrams with its own discounted continuation counts, and these
+with continuation counts that both classes share. Discounts above the usual and floors under the
+weights of the back-off leave little of what a class has seen only a few times, so that rare expressions are
+judged by how words behave in both. A pair counts as often as different words stand before it, so
+that copies of a text add nothing.
 
 Words fall into 2**16 buckets. Bigram counts are summed over all training rows; of the pairs that
 meet in one of 2**20 cells the most frequent keeps its own counts, the others' mass goes to the back-off
-(a table of bounded size, whatever the corpus). Two thirds of the labelled training rows, by a hash of
+(a table of bounded size, whatever the corpus). Four fifths of the labelled training rows, by a hash of
 doc_id, make the counts, the others calibrate: a histogram of their ratios over all rows, then a logistic fit.
 
 Defined cases: a null or wordless text gets the calibrated score of ratio 0; several labels of one
@@ -25,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, columns, crc_mod, sliced, table
+from .common import as_bytes, checkpointed, columns, crc_mod, sliced, table
 from .licenses import WORDS
 
 WORD_BITS, CELL_BITS, THRESHOLD, BINS, RANGE = 16, 20, 0.7, 4000, 4.0
+PASSAGE = 3
+#: Discounts and least back-off weights of continuation counts and of bigrams.
+DISCOUNTS, FLOORS = (3.0, 20.0), (0.5, 0.95)
 N_WORDS, N_CELLS = 1 << WORD_BITS, 1 << CELL_BITS
 #: Distinct pairs that a task gathers before it sends them on.
 GATHERED = 2_000_000
@@ -70,15 +76,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> Iterator[pa.RecordBatch]:
         for toxic, own in held.items():
             if own:
-                pairs, n = np.unique(np.concatenate(own), return_counts=True)
-                for k in range(0, len(pairs), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs[k : k + 200_000]), toxic, np.int32)), pa.array(pairs[k : k + 200_000].astype(np.int64)), pa.array(n[k : k + 200_000])], names=["toxic", "pair", "n"])
+                seen = np.unique(np.concatenate(own))
+                for k in range(0, len(seen), 200_000):
+                    part = seen[k : k + 200_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), toxic, np.int32)), pa.array((part & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array((part >> np.uint64(32)).astype(np.int32))], names=["toxic", "pair", "before"])
                 own.clear()
 
     for batch in sliced(batches, "text"):
         for text, toxic in zip(as_bytes(batch, "text"), batch.column("toxic").to_pylist(), strict=True):
-            held[int(toxic > 0)].append(pairs_of(text, buckets))
-            size += len(held[int(toxic > 0)][-1])
+            pairs = pairs_of(text, buckets).astype(np.uint64)
+            before = np.concatenate((np.zeros(1, np.uint64), pairs[:-1] >> np.uint64(WORD_BITS)))[: len(pairs)]
+            held[int(toxic > 0)].append(before << np.uint64(32) | pairs)
+            size += len(pairs)
         if size > GATHERED:
             yield from flush()
             size = 0
@@ -90,7 +99,7 @@ class KneserNey:
 
     slope, offset = 1.0, 0.0
 
-    def __init__(self, kept: tuple, context: np.ndarray, continued: np.ndarray, discount: tuple[float, float]):
+    def __init__(self, kept: tuple, context: np.ndarray, continued: np.ndarray, discounts: tuple[float, float] = DISCOUNTS, floors: tuple[float, float] = FLOORS):
         """kept: (cell, pair, ordinary count, toxic count); context, continued: classes x words, the count of a context and the kinds of contexts of a word."""
         cell, pair, *counts = kept
         shared = continued.sum(axis=0) + 0.1
@@ -99,12 +108,11 @@ class KneserNey:
         backs, lambdas = [], []
         for c in (0, 1):
             kinds = max(continued[c].sum(), 1)
-            back = np.maximum(continued[c] - 0.75, 0) / kinds
+            back = (1 - floors[0]) * np.maximum(continued[c] - discounts[0], 0) / kinds
             back = back + (1 - back.sum()) * shared
             of = np.maximum(context[c], 1e-9)
-            seen = np.maximum(counts[c] - discount[c], 0) / of[left]
-            rest = 1 - np.bincount(left, seen, N_WORDS)
-            rest = np.where(context[c] > 0, np.clip(rest, 1e-3, 1), 1)
+            seen = (1 - floors[1]) * np.maximum(counts[c] - discounts[1], 0) / of[left]
+            rest = np.clip(1 - np.bincount(left, seen, N_WORDS), floors[1] / 2, 1)
             log_p.append(np.log(seen + rest[left] * back[word]))
             backs.append(np.log(back))
             lambdas.append(np.log(rest))
@@ -112,35 +120,33 @@ class KneserNey:
         self.pair[cell], self.ratio[cell] = pair, log_p[1] - log_p[0]
         self.left, self.right = (lambdas[1] - lambdas[0]).astype(np.float32), (backs[1] - backs[0]).astype(np.float32)
 
-    def mean_ratio(self, text: bytes, buckets: Buckets) -> float:
-        """Toxic less ordinary log-likelihood, a word."""
+    def passage_ratio(self, text: bytes, buckets: Buckets) -> float:
+        """Toxic less ordinary log-likelihood a word, over the passage where it is largest."""
         pairs = pairs_of(text, buckets)
         if not len(pairs):
             return 0.0
         cell = cell_of(pairs)
         back = self.left[pairs >> np.uint32(WORD_BITS)] + self.right[pairs & np.uint32(N_WORDS - 1)]
-        return float(np.where(self.pair[cell] == pairs, self.ratio[cell], back).mean(dtype=np.float64))
-
-    def score(self, ratio: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * ratio + self.offset, -500, 500))))
+        each = np.where(self.pair[cell] == pairs, self.ratio[cell], back).astype(np.float64)
+        if len(each) <= PASSAGE:
+            return float(each.mean())
+        sums = np.concatenate(([0], np.cumsum(each)))
+        return float((sums[PASSAGE:] - sums[:-PASSAGE]).max() / PASSAGE)
 
 
 def count_pairs(rows: DataFrame) -> DataFrame:
-    """rows: text, toxic -> pair, n0, n1 over all rows."""
-    each = rows.select("text", "toxic").mapInArrow(_counted, "toxic int, pair long, n long")
-    return each.groupBy("pair").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"))
+    """rows: text, toxic -> pair, n0, n1: before how many different words it stands, over all ordinary and toxic rows. One shuffle."""
+    each = rows.select("text", "toxic").mapInArrow(_counted, "toxic int, pair long, before int").repartition("pair")
+    once = each.groupBy("pair", "before").agg(F.max(1 - F.col("toxic")).alias("o"), F.max("toxic").alias("t"))
+    return once.groupBy("pair").agg(F.sum("o").alias("n0"), F.sum("t").alias("n1"))
 
 
 def learn(rows: DataFrame) -> KneserNey | None:
     """At most N_CELLS + 4 * N_WORDS rows reach the driver, whatever the input; pairs and sums are shuffled."""
-    from .common import checkpointed
-
     pairs = checkpointed(count_pairs(rows))
-    ones = [F.sum((F.col(f"n{c}") == k).cast("long")).alias(f"c{c}{k}") for c in (0, 1) for k in (1, 2)]
-    seen = pairs.agg(*ones, F.sum("n0").alias("t0"), F.sum("n1").alias("t1")).first()
+    seen = pairs.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1")).first()
     if not (seen["t0"] and seen["t1"]):
         return None
-    discount = tuple(max(0.1, min(0.95, (seen[f"c{c}1"] or 0) / max(1, (seen[f"c{c}1"] or 0) + 2 * (seen[f"c{c}2"] or 0)))) for c in (0, 1))
 
     def vectors(key: Column, *what: Column) -> np.ndarray:
         got = pairs.groupBy(key.cast("int").alias("k")).agg(*[w.alias(f"v{i}") for i, w in enumerate(what)]).toArrow()
@@ -154,7 +160,7 @@ def learn(rows: DataFrame) -> KneserNey | None:
     most = F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), "pair", "n0", "n1")).alias("m")
     kept = pairs.groupBy(cell_column(F.col("pair")).alias("cell")).agg(most).select("cell", "m.pair", "m.n0", "m.n1").toArrow()
     pair = kept.column("pair").to_numpy().astype(np.uint32)
-    return KneserNey((cell_of(pair), pair, kept.column("n0").to_numpy(), kept.column("n1").to_numpy()), context, continued, discount)
+    return KneserNey((cell_of(pair), pair, kept.column("n0").to_numpy(), kept.column("n1").to_numpy()), context, continued)
 
 
 def ratios(rows: DataFrame, model: KneserNey, *also: str) -> DataFrame:
@@ -164,18 +170,19 @@ def ratios(rows: DataFrame, model: KneserNey, *also: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
         for batch in sliced(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in also), pa.array([model.mean_ratio(t, buckets) for t in as_bytes(batch, "text")], pa.float64())], names=[*also, "ratio"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in also), pa.array([model.passage_ratio(t, buckets) for t in as_bytes(batch, "text")], pa.float64())], names=[*also, "ratio"])
 
     return rows.select("text", *also).mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in also), "ratio double"]))
 
 
 def calibrate(model: KneserNey, rows: DataFrame) -> None:
-    """A logistic fit over the histogram of all calibration rows: at most 2 * BINS sums reach the driver."""
+    """A logistic fit, as if both classes were as frequent, over the histogram of all calibration rows: at most 2 * BINS sums reach the driver."""
     at = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("ratio") + RANGE) / (2 * RANGE) * BINS))).cast("int")
     got = ratios(rows, model, "toxic").groupBy(at.alias("at"), (F.col("toxic") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).toArrow()
     x, y, n = (got.column(0).to_numpy() + 0.5) / BINS * 2 * RANGE - RANGE, got.column(1).to_numpy(), got.column(2).to_numpy()
     if len(set(y.tolist())) < 2:
         return
+    n = n * np.where(y == 1, n[y == 0].sum() / n[y == 1].sum(), 1.0)
     middle, spread = np.average(x, weights=n), max(1e-6, np.sqrt(np.average((x - np.average(x, weights=n)) ** 2, weights=n)))
     z, w = np.stack([(x - middle) / spread, np.ones(len(x))], axis=1), np.zeros(2)
     for _ in range(100):
@@ -191,7 +198,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """doc_id, held_out, score, predicted, ratio."""
     rows = columns(docs, doc_id=id_col, text=text_col).withColumn("held_out", crc_mod(F.col("doc_id"), modulus) == held)
     known = columns(labels, doc_id=id_col, toxic=label_col).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marked = rows.filter("not held_out").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(3))).join(known, "doc_id")
+    marked = rows.filter("not held_out").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(5))).join(known, "doc_id")
     model = learn(marked.filter("part > 0").select("text", "toxic"))
     if model is None:
         return rows.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("ratio"))
