@@ -34,11 +34,17 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in wanted.items()])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a copy in the shared folder that spark.checkpoint.dir names; a temporary one only where that is unset."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share; a temporary one only where that is unset."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a copy in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -109,3 +109,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents")).select("row.doc_id", "n_lines", "n_removed", "text")
+
+
+_BLANK = r"[^\x20\x09-\x0D]"
+SQL = rf"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents
+), u AS (SELECT * FROM l WHERE regexp_matches(line, '{_BLANK}')),
+f AS (SELECT line, min((doc_id, pos)) AS top, length(line) AS n FROM u GROUP BY line),
+s AS (SELECT *, unnest([n, n - 1]) AS m FROM f WHERE n >= {MIN_EDIT}),
+k AS (SELECT line, top, n, m, 0 AS half, left(line, m // 2) AS part FROM s UNION ALL SELECT line, top, n, m, 1, right(line, m - m // 2) FROM s),
+near AS (
+  SELECT DISTINCT b.line FROM k a JOIN k b ON a.half = b.half AND a.part = b.part AND a.m = b.m AND a.top < b.top AND abs(a.n - b.n) <= 1
+  WHERE a.line <> b.line AND CASE
+    WHEN a.n = b.n THEN len(list_filter(list_zip(string_split(a.line, ''), string_split(b.line, '')), lambda x: x[1] <> x[2])) = 1
+    WHEN a.n < b.n THEN len(list_filter(range(1, b.n + 1), lambda i: left(b.line, i - 1) || substr(b.line, i + 1) = a.line)) > 0
+    ELSE len(list_filter(range(1, a.n + 1), lambda i: left(a.line, i - 1) || substr(a.line, i + 1) = b.line)) > 0 END
+), gone AS (
+  SELECT u.doc_id, u.pos FROM u JOIN f USING (line) WHERE (u.doc_id, u.pos) <> f.top OR u.line IN (SELECT line FROM near)
+), kept AS (
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM l ANTI JOIN gone USING (doc_id, pos) GROUP BY l.doc_id
+), sums AS (SELECT doc_id, count(*) AS n_lines FROM u GROUP BY doc_id), lost AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""

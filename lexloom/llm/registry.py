@@ -11,4 +11,4 @@ QUERIES = {
         toxicity.op6_toxicity, surrogates.op7_surrogates, simhash.op8_simhash, lines.op9_line_dedup, pieces.op10_pieces,
     )
 }
-SQL = {"op3_url_filter": url_filter.SQL}
+SQL = {"op3_url_filter": url_filter.SQL, "op9_line_dedup": lines.SQL}

@@ -9,8 +9,8 @@ Links between fingerprints are closed by alternating large-star and small-star r
 
 Defined cases: words are split at ASCII white space; a null or wordless text has fingerprint zero, linked
 like any other; fewer than three words are one shingle; rows with one doc_id are fingerprinted each, and
-a null doc_id belongs to no component's minimum unless all are null; columns beside the id and text
-play no part.
+a null doc_id counts as the largest (component_id is null if all of a component's are); columns beside
+the id and text play no part. keep_one() takes rows that share a doc_id for one document.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ SHINGLE, SEED, DISTANCE, BLOCK_BITS, HOT = 3, 42, 2, 16, 64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose bits are spread out at a time.
 CHUNK = 1 << 17
+LAST = (1 << 63) - 1
 
 
 def fingerprint(text: bytes) -> int:
@@ -112,25 +113,26 @@ def roots_of(prints: DataFrame) -> DataFrame:
     return named.join(least, "root").select("fp", "component")
 
 
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id (LAST for null), fp, component."""
+    rows = checkpointed(fingerprints(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))))
+    prints = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    classes = prints.join(roots_of(prints), "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
+    return rows.join(classes, "fp")
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id, one row per document."""
-    rows = checkpointed(fingerprints(docs, id_col, text_col))
-    prints = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    classes = prints.join(roots_of(prints), "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    null = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    return linked(docs, id_col, text_col).select(null("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), null("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, but one for each component: that with the least doc_id, then the least other values.
-
-    Rows with a null doc_id come last. The text itself isn't shuffled but for rows that tie on doc_id.
-    """
-    linked = link(docs, id_col, text_col)
-    own = F.col(f"`{id_col}`").cast("long")
-    kept = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, own.eqNullSafe(F.col("__kept")), "left_semi")
-    first = Window.partitionBy(own).orderBy(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
-    return rows.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth")
+    """The rows of docs, with all columns, but one for each component: that with the least doc_id, then the least other values."""
+    kept = linked(docs, id_col, text_col).filter("doc_id = component").select(F.col("doc_id").alias("__id")).distinct()
+    rows = docs.withColumn("__id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST))).join(kept, "__id", "left_semi")
+    order = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__id").orderBy(*order))).filter("__nth = 1").drop("__nth", "__id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
