@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpointed, columns, crc_mod, sliced, table
+from .common import as_bytes, columns, crc_mod, sliced, table
 from .licenses import WORDS
 
 WORD_BITS, CELL_BITS, THRESHOLD, BINS, RANGE = 16, 20, 0.7, 4000, 4.0
@@ -37,8 +37,9 @@ PASSAGE = 2
 #: three-fold cross-validation within the rows that may train (crc32 mod 3 not 1).
 DISCOUNTS, FLOORS = (2.0, 20.0), (0.5, 0.95)
 N_WORDS, N_CELLS = 1 << WORD_BITS, 1 << CELL_BITS
-#: Distinct pairs that a task gathers before it sends them on.
+#: Pairs that a task gathers before it works on them; labelled ids up to which they are broadcast.
 GATHERED = 2_000_000
+BROADCAST_ROWS = 4_000_000
 
 
 class Buckets(dict):
@@ -59,35 +60,31 @@ def pairs_of(text: bytes, buckets: Buckets) -> np.ndarray:
     return (own[:-1] << np.uint32(WORD_BITS)) | own[1:]
 
 
-def cell_of(pairs: np.ndarray) -> np.ndarray:
-    return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - CELL_BITS)
+#: An odd factor and its inverse modulo 2**32: pairs are mixed one-to-one, and a cell is the upper bits of that.
+ODD = 0x9E3779B1
+INVERSE = np.uint64(pow(ODD, -1, 1 << 32))
+LOW = np.uint64(0xFFFFFFFF)
 
 
-def cell_column(pair: Column) -> Column:
-    """The same cell in Spark."""
-    odd = 0x9E3779B1
-    high = F.shiftleft((F.shiftright(pair, 16) * F.lit(odd)).bitwiseAND(0xFFFF), 16)
-    product = (pair.bitwiseAND(0xFFFF) * F.lit(odd) + high).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.shiftright(product, 32 - CELL_BITS)
+def cell_of(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint32(ODD)) >> np.uint32(32 - CELL_BITS)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    buckets, held, size = Buckets(), {0: [], 1: []}, 0
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text, toxic -> distinct codes: the mixed pair, the word before it (16 bits) and toxic (1 bit)."""
+    buckets, held, size = Buckets(), [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for toxic, own in held.items():
-            if own:
-                seen = np.unique(np.concatenate(own))
-                for k in range(0, len(seen), 200_000):
-                    part = seen[k : k + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), toxic, np.int32)), pa.array((part & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array((part >> np.uint64(32)).astype(np.int32))], names=["toxic", "pair", "before"])
-                own.clear()
+        seen = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+        for k in range(0, len(seen), 400_000):
+            yield pa.RecordBatch.from_arrays([pa.array(seen[k : k + 400_000].astype(np.int64))], names=["code"])
+        held.clear()
 
     for batch in sliced(batches, "text"):
         for text, toxic in zip(as_bytes(batch, "text"), batch.column("toxic").to_pylist(), strict=True):
             pairs = pairs_of(text, buckets).astype(np.uint64)
             before = np.concatenate((np.zeros(1, np.uint64), pairs[:-1] >> np.uint64(WORD_BITS)))[: len(pairs)]
-            held[int(toxic > 0)].append(before << np.uint64(32) | pairs)
+            held.append((pairs * np.uint64(ODD) & LOW) << np.uint64(17) | before << np.uint64(1) | np.uint64(toxic > 0))
             size += len(pairs)
         if size > GATHERED:
             yield from flush()
@@ -95,6 +92,54 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+#: Kinds of sums: counts by context, kinds of contexts by word, and each cell's most frequent pair.
+CONTEXT, CONTINUED, KEPT = 0, 1, 2
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted codes of whole cells -> kind, key, n0, n1. Holds a few batches and two dense vectors, whatever the partition."""
+    vectors, rest, waiting, size = np.zeros((2, 2, N_WORDS), np.int64), np.zeros(0, np.uint64), [], 0
+
+    def rows(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(n[0]), pa.array(n[1])], names=["kind", "key", "n0", "n1"])
+
+    def settle(codes: np.ndarray) -> pa.RecordBatch:
+        """All the codes of some cells: adds to the vectors, and gives the cells' most frequent pairs."""
+        once = np.flatnonzero(np.concatenate(([True], codes[1:] >> np.uint64(1) != codes[:-1] >> np.uint64(1))))
+        last = np.concatenate((once[1:], [len(codes)])) - 1
+        mixed = codes[once] >> np.uint64(17)
+        new = np.flatnonzero(np.concatenate(([True], mixed[1:] != mixed[:-1])))
+        n = np.stack([np.add.reduceat((codes[at] & np.uint64(1)).astype(np.int64) == c, new, dtype=np.int64) for c, at in ((0, once), (1, last))])
+        mixed = mixed[new]
+        pair = mixed * INVERSE & LOW
+        left, right = (pair >> np.uint64(WORD_BITS)).astype(np.int64), (pair & np.uint64(N_WORDS - 1)).astype(np.int64)
+        for c in (0, 1):
+            vectors[CONTEXT, c] += np.bincount(left, n[c], N_WORDS).astype(np.int64)
+            vectors[CONTINUED, c] += np.bincount(right, n[c] > 0, N_WORDS).astype(np.int64)
+        cell = mixed >> np.uint64(32 - CELL_BITS)
+        order = np.lexsort((mixed, n.sum(axis=0), cell))
+        best = order[np.flatnonzero(np.concatenate((cell[order][1:] != cell[order][:-1], [True])))]
+        return rows(KEPT, pair[best], n[:, best])
+
+    for batch in batches:
+        waiting.append(batch.column("code").to_numpy().astype(np.uint64))
+        size += batch.num_rows
+        if size > GATHERED:
+            codes, size = np.concatenate([rest, *waiting]), 0
+            waiting.clear()
+            cells = codes >> np.uint64(17 + 32 - CELL_BITS)
+            full = int(np.searchsorted(cells, cells[-1]))
+            rest = codes[full:]
+            if full:
+                yield settle(codes[:full])
+    codes = np.concatenate([rest, *waiting])
+    if len(codes):
+        yield settle(codes)
+    for kind in (CONTEXT, CONTINUED):
+        key = np.flatnonzero(vectors[kind].any(axis=0))
+        yield rows(kind, key, vectors[kind][:, key])
+
+
 class KneserNey:
     """pair (of each cell), ratio (of each cell's pair), left and right: the ratio of the back-off is left[u] + right[w]."""
 
@@ -135,33 +180,28 @@ class KneserNey:
         return float((sums[PASSAGE:] - sums[:-PASSAGE]).max() / PASSAGE)
 
 
-def count_pairs(rows: DataFrame) -> DataFrame:
-    """rows: text, toxic -> pair, n0, n1: before how many different words it stands, over all ordinary and toxic rows. One shuffle."""
-    each = rows.select("text", "toxic").mapInArrow(_counted, "toxic int, pair long, before int").repartition("pair")
-    once = each.groupBy("pair", "before").agg(F.max(1 - F.col("toxic")).alias("o"), F.max("toxic").alias("t"))
-    return once.groupBy("pair").agg(F.sum("o").alias("n0"), F.sum("t").alias("n1"))
+def sums_of(rows: DataFrame) -> DataFrame:
+    """rows: text, toxic -> kind, key, n0, n1 over all of them. A pair's n is before how many different words it stands.
+
+    The codes are shuffled once, by cell, and sorted; a partition's sums then need no more of Spark than a last small sum.
+    """
+    codes = rows.select("text", "toxic").mapInArrow(_coded, "code long")
+    cells = codes.repartition(F.shiftright("code", 17 + 32 - CELL_BITS)).sortWithinPartitions("code")
+    each = cells.mapInArrow(_summed, "kind int, key long, n0 long, n1 long")
+    return each.groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def learn(rows: DataFrame) -> KneserNey | None:
-    """At most N_CELLS + 4 * N_WORDS rows reach the driver, whatever the input; pairs and sums are shuffled."""
-    pairs = checkpointed(count_pairs(rows))
-    seen = pairs.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1")).first()
-    if not (seen["t0"] and seen["t1"]):
+    """At most N_CELLS + 2 * N_WORDS rows reach the driver, whatever the input."""
+    got = sums_of(rows).toArrow()
+    kind, key, n = got.column("kind").to_numpy(), got.column("key").to_numpy(), np.stack([got.column(c).to_numpy() for c in ("n0", "n1")])
+    dense = np.zeros((2, 2, N_WORDS))
+    for k in (CONTEXT, CONTINUED):
+        dense[k][:, key[kind == k]] = n[:, kind == k]
+    if not dense[CONTEXT].sum(axis=1).all():
         return None
-
-    def vectors(key: Column, *what: Column) -> np.ndarray:
-        got = pairs.groupBy(key.cast("int").alias("k")).agg(*[w.alias(f"v{i}") for i, w in enumerate(what)]).toArrow()
-        out = np.zeros((len(what), N_WORDS))
-        for i in range(len(what)):
-            out[i, got.column("k").to_numpy()] = got.column(f"v{i}").to_numpy()
-        return out
-
-    context = vectors(F.shiftright("pair", WORD_BITS), F.sum("n0"), F.sum("n1"))
-    continued = vectors(F.col("pair").bitwiseAND(N_WORDS - 1), F.sum((F.col("n0") > 0).cast("long")), F.sum((F.col("n1") > 0).cast("long")))
-    most = F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), "pair", "n0", "n1")).alias("m")
-    kept = pairs.groupBy(cell_column(F.col("pair")).alias("cell")).agg(most).select("cell", "m.pair", "m.n0", "m.n1").toArrow()
-    pair = kept.column("pair").to_numpy().astype(np.uint32)
-    return KneserNey((cell_of(pair), pair, kept.column("n0").to_numpy(), kept.column("n1").to_numpy()), context, continued)
+    pair = key[kind == KEPT].astype(np.uint32)
+    return KneserNey((cell_of(pair), pair, *n[:, kind == KEPT]), dense[CONTEXT], dense[CONTINUED])
 
 
 def ratios(rows: DataFrame, model: KneserNey, *also: str) -> DataFrame:
@@ -195,10 +235,12 @@ def calibrate(model: KneserNey, rows: DataFrame) -> None:
     model.slope, model.offset = float(w[0] / spread), float(w[1] - w[0] * middle / spread)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 3, held: int = 1) -> DataFrame:
-    """doc_id, held_out, score, predicted, ratio."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 3, held: int = 1, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted, ratio. Up to broadcast_rows labelled ids (12 bytes each) are sent to the texts; beyond, both are shuffled."""
     rows = columns(docs, doc_id=id_col, text=text_col).withColumn("held_out", crc_mod(F.col("doc_id"), modulus) == held)
     known = columns(labels, doc_id=id_col, toxic=label_col).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    if known.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        known = F.broadcast(known)
     marked = rows.filter("not held_out").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(5))).join(known, "doc_id")
     model = learn(marked.filter("part > 0").select("text", "toxic"))
     if model is None:

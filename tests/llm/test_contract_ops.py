@@ -151,14 +151,32 @@ def test_toxicity(spark):
     assert all(r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in rows.values())
     odd = toxicity.score_toxicity(docs(spark, EDGE), labels.limit(0)).collect()
     assert len(odd) == len(EDGE) and {r.score for r in odd} == {0.0}
+    shuffled = toxicity.score_toxicity(docs(spark, texts), labels, broadcast_rows=0).collect()
+    assert {r.doc_id: r.score for r in shuffled} == {k: r.score for k, r in rows.items()}
     changed = labels.withColumn("toxic", F.when(crc_mod(F.col("doc_id"), 3) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert {r.doc_id: r.score for r in toxicity.score_toxicity(docs(spark, texts), changed).collect()} == {k: r.score for k, r in rows.items()}
 
 
-def test_cells_agree(spark):
-    pairs = np.array([0, 1, 65535, 1 << 16, 0xFFFFFFFF, 123456789], np.uint32)
-    got = spark.createDataFrame([(int(p),) for p in pairs], "p long").select(toxicity.cell_column(F.col("p")).alias("c")).collect()
-    assert [r.c for r in got] == toxicity.cell_of(pairs).tolist()
+def test_pair_sums(spark):
+    rng = random.Random(7)
+    texts = [(" ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 30))), rng.randint(0, 1)) for _ in range(80)]
+    got = toxicity.sums_of(spark.createDataFrame(texts, "text string, toxic int").repartition(3)).collect()
+    kept = {r.key: (r.n0, r.n1) for r in got if r.kind == toxicity.KEPT}
+    seen = {}
+    for text, toxic in texts:
+        words = [0, 0, *(toxicity.Buckets()[w.encode()] for w in text.split())]
+        for a, b, c in zip(words, words[1:], words[2:], strict=False):
+            seen.setdefault(b << 16 | c, (set(), set()))[toxic].add(a)
+    want = {p: tuple(map(len, s)) for p, s in seen.items()}
+    cells = toxicity.cell_of(np.array(list(want), np.uint32))
+    if len(set(cells.tolist())) == len(want):
+        assert kept == want
+    for kind, of in ((toxicity.CONTEXT, lambda p: p >> 16), (toxicity.CONTINUED, lambda p: p & 65535)):
+        for c in (0, 1):
+            sums = {}
+            for p, n in want.items():
+                sums[of(p)] = sums.get(of(p), 0) + (n[c] if kind == toxicity.CONTEXT else n[c] > 0)
+            assert {r.key: r[2 + c] for r in got if r.kind == kind} == {k: int(v) for k, v in sums.items()} | {r.key: 0 for r in got if r.kind == kind and r.key not in sums}
 
 
 # --- 7
