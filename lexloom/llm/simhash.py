@@ -10,13 +10,13 @@ Links between fingerprints are closed by alternating large-star and small-star r
 Defined cases: words are split at ASCII white space; a null or wordless text has fingerprint zero, linked
 like any other; fewer than three words are one shingle; rows with one doc_id are fingerprinted each, and
 a null doc_id counts as the largest (component_id is null if all of a component's are); columns beside
-the id and text play no part. keep_one() takes rows that share a doc_id for one document.
+the id and text play no part. keep_one() goes by texts: rows that share an id, or have none, are told apart.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,13 +53,13 @@ def _prints(texts: list[bytes]) -> pa.Array:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
+    """doc_id, text_hash, fp (the 64 bits as a long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), _prints(as_bytes(batch, "text"))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), _prints(as_bytes(batch, "text"))], names=["doc_id", "text_hash", "fp"])
 
-    return columns(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, fp long")
+    return columns(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def near_pairs(prints: DataFrame, hot: int = HOT) -> DataFrame:
@@ -115,7 +115,7 @@ def roots_of(prints: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id (LAST for null), fp, component."""
-    rows = checkpointed(fingerprints(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))))
+    rows = checkpointed(fingerprints(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "fp"))
     prints = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     classes = prints.join(roots_of(prints), "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
     return rows.join(classes, "fp")
@@ -127,12 +127,23 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return linked(docs, id_col, text_col).select(null("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), null("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, but one for each component: that with the least doc_id, then the least other values."""
-    kept = linked(docs, id_col, text_col).filter("doc_id = component").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.withColumn("__id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST))).join(kept, "__id", "left_semi")
-    order = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__id").orderBy(*order))).filter("__nth = 1").drop("__nth", "__id")
+def classes(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text -> doc_id (LAST for null), text_hash, root: the fingerprint that stands for all that the row's own one reaches."""
+    rows = checkpointed(fingerprints(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))))
+    found = components(near_pairs(rows.select("fp").distinct())).withColumnRenamed("node", "fp")
+    return rows.join(found, "fp", "left").select("doc_id", "text_hash", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: Callable[[DataFrame], DataFrame] = classes) -> DataFrame:
+    """The rows of docs, with all columns, but one for each class: that with the least doc_id, then the least hash of its text, then the least other values.
+
+    Rows are told apart by their own class, so different texts stay even where ids are null or shared.
+    """
+    least = classes(columns(docs, doc_id=id_col, text=text_col)).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
+    kept = least.select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__hash"))
+    rows = docs.withColumns({"__id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)), "__hash": F.xxhash64(F.col(f"`{text_col}`"))}).join(kept, ["__id", "__hash"], "left_semi")
+    order = F.struct(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    return rows.groupBy("__id", "__hash").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("__row")).select("__row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

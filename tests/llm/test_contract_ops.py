@@ -249,6 +249,15 @@ def test_simhash(spark):
     assert simhash.keep_one(twice.union(twice)).count() == 1
 
 
+def test_keep_one_goes_by_texts(spark):
+    rng = random.Random(21)
+    texts = [prose(rng, 40) for _ in range(6)]
+    nameless = docs(spark, [*texts, texts[0]]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert sorted(r.text for r in simhash.keep_one(nameless).collect()) == sorted(texts)
+    shared = docs(spark, texts).withColumn("doc_id", F.lit(7).cast("long")).union(docs(spark, texts[:1]))
+    assert sorted(r.text for r in simhash.keep_one(shared).collect()) == sorted(texts)
+
+
 def test_crowded_blocks_lose_no_link(spark):
     rng = random.Random(9)
     prints = {0}
