@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from lexloom.llm import decontaminate, language, licenses, lines, pieces, quality, simhash, surrogates, toxicity, url_filter
+from lexloom.llm import decontaminate, language, licenses, lines, pieces, quality, similar, simhash, surrogates, toxicity, url_filter
 from lexloom.llm.common import crc_mod
 from pyspark.sql import functions as F
 
@@ -258,6 +258,58 @@ def test_keep_one_goes_by_texts(spark):
     assert sorted(r.text for r in simhash.keep_one(shared).collect()) == sorted(texts)
 
 
+def brute_similar(texts):
+    """The least place that each text reaches over pairs of similarity 0.8 or more of five-word shingles."""
+    sets = []
+    for t in texts:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set())
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+    return root
+
+
+def near_texts(rng):
+    """Copies with edits at about the threshold, chains of them, a crowd around one text, and a passage that many quote."""
+    texts = [None, "", "a b", "A  b", "a b c d e", "a b c d e f"]
+    quoted = prose(rng, 40)
+    for _ in range(12):
+        words = prose(rng, rng.randint(20, 150)).split()
+        for _ in range(6):
+            texts.append(" ".join(words))
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(len(words))] = rng.choice(WORDS)
+    crowd = prose(rng, 120).split()
+    for k in range(40):
+        at = rng.randrange(110)
+        texts.append(" ".join(crowd[:at] + [f"w{k}"] + crowd[at + k % 7 :]))
+    texts += [f"{prose(rng, 30)} {quoted} {prose(rng, 30)}" for _ in range(40)]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("hot", [4, 10_000])
+def test_similar_classes(spark, hot):
+    texts = near_texts(random.Random(22))
+    got = {r.doc_id: r.root for r in similar.classes(docs(spark, texts), hot=hot).collect()}
+    want = brute_similar(texts)
+    least = {}
+    for k in range(len(texts)):
+        least.setdefault(got[k], k)
+    assert [least[got[k]] for k in range(len(texts))] == want and len(set(want)) > 50
+
+
+def test_pipeline_near_dedup(spark):
+    import corpus_pipeline
+
+    texts = near_texts(random.Random(23))
+    kept = corpus_pipeline.near_dedup(spark, docs(spark, texts), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_similar(texts)))
+
+
 def test_crowded_blocks_lose_no_link(spark):
     rng = random.Random(9)
     prints = {0}
