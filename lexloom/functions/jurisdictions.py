@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import fixed
+
 
 @dataclass(frozen=True)
 class Jurisdiction:
@@ -39,18 +41,7 @@ class Jurisdiction:
         return level
 
 
-_TERMS = {
-    "uk": "act|appeal|appellant|applicant|barrister|breach|causation|claimant|consideration|contract|counsel|court|covenant|damages|defendant|duty of care|equity|estoppel|hearing|indemnity|injunction|judge|judgment|judicial review|justice|laches|liability|magistrate|negligence|obiter dicta|order|paragraph|petitioner|precedent|ratio decidendi|regulation|remoteness|respondent|schedule|section|solicitor|stare decisis|statute|statutory instrument|stay|subsection|tort|tribunal|tribunal member|ultra vires|warranty",
-    "us": "appeal|appellant|appellee|attorney|breach|causation|certiorari|code|commerce clause|consideration|contract|counsel|court|covenant|damages|defendant|dicta|due process|duty|equal protection|fifth amendment|first amendment|fourth amendment|hearing|holding|indemnification|injunction|judge|judgment|justice|liability|magistrate|mandamus|mootness|negligence|opinion|order|petitioner|plaintiff|precedent|preemption|regulation|respondent|ripeness|section|standing|stare decisis|statute|stay|subsection|tort|warranty",
-    "eu": "abuse|advocate general|annulment|applicant|charter|commission|concentration|consent|consistent interpretation|controller|council|court of justice|data protection impact assessment|data subject|decision|defendant|direct effect|directive|dominant position|effectiveness|equivalence|general court|indirect effect|infringement|judgment|legitimate interest|member state|merger|opinion|order|parliament|personal data|preliminary reference|preliminary ruling|processing|processor|proportionality|recommendation|regulation|state aid|state liability|subsidiarity|supervisory authority|supremacy|treaty|undertaking",
-}
-_COURTS = {
-    "uk": ("Supreme Court|Privy Council|Court of Appeal|High Court|Crown Court|County Court|Magistrates' Court|Tribunal", "UKHL=Supreme Court|UKSC=Supreme Court|House of Lords=Supreme Court|UKPC=Privy Council|EWCA Crim=Court of Appeal|EWCA Civ=Court of Appeal|EWCOP=High Court|EWHC=High Court|EWCC=County Court|EAT=Tribunal|UKEAT=Tribunal|UKFTT=Tribunal|UKUT=Tribunal"),
-    "us": ("Supreme Court|Court of Appeals|Circuit Court|District Court|Bankruptcy Court|Magistrate", "SCOTUS=Supreme Court"),
-    "eu": ("Court of Justice|General Court", "CFI=General Court|GC=General Court|ECJ=Court of Justice|CJEU=Court of Justice|CJ=Court of Justice"),
-}
-_NAMES = {"uk": "United Kingdom", "us": "United States", "eu": "European Union"}
-ALL = {c: Jurisdiction(c, _NAMES[c], tuple(_COURTS[c][0].split("|")), dict(a.split("=") for a in _COURTS[c][1].split("|")), frozenset(_TERMS[c].split("|"))) for c in _NAMES}
+ALL = {c: Jurisdiction(c, name, tuple(fixed.COURT_RANKS[c]), fixed.COURT_ALIASES[c], frozenset(fixed.JURISDICTION_TERMS[c])) for c, name in fixed.JURISDICTION_NAMES.items()}
 
 
 def jurisdiction(code: str) -> Jurisdiction:

@@ -6,17 +6,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import citations
+from . import citations, fixed
 from .text import let, tokens
 
-TERMS = {
-    "eu": ["advocate general", "annulment", "appellant", "applicant", "decision", "defendant", "direct effect", "directive", "infringement", "member state", "preliminary reference", "preliminary ruling", "proportionality", "regulation", "subsidiarity", "supremacy"],
-    "uk": ["appellant", "breach", "claimant", "consideration", "covenant", "damages", "defendant", "duty of care", "estoppel", "indemnity", "injunction", "judicial review", "liability", "negligence", "obiter dicta", "precedent", "ratio decidendi", "regulation", "respondent", "statute", "tort", "ultra vires", "warranty"],
-    "us": ["appellant", "appellee", "breach", "certiorari", "consideration", "covenant", "damages", "defendant", "dicta", "due process", "estoppel", "indemnification", "injunction", "liability", "negligence", "plaintiff", "precedent", "preemption", "regulation", "standing", "stare decisis", "statute", "tort", "warranty"],
-}
-HEDGES = "arguably|could|depending on|generally|in some cases|it appears|it is possible|it seems|may|might|often|possibly|potentially|subject to|typically|usually".split("|")
-
-
 def _size(c: Column) -> Column:
     return F.size(c).cast("double")
 
@@ -72,7 +64,7 @@ def rouge_l(answer: Column, expected: Column) -> Column:
 
 
 def similarity(answer: Column, expected: Column) -> Column:
-    """struct<word_precision, word_recall, word_f1, token_f1, bigram_overlap, length_ratio>."""
+    """struct<word_precision, word_recall, word_f1, token_f1, bigram_overlap, length_ratio, rouge_l>."""
     pairs = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda x, y: F.concat(x, F.lit("\x1f"), y))).otherwise(F.array().cast("array<string>"))
 
     def scores(a: Column, b: Column) -> Column:
@@ -83,13 +75,13 @@ def similarity(answer: Column, expected: Column) -> Column:
             F.size(F.array_intersect(pairs(a), pairs(b))).alias("bigram_overlap"), (F.char_length(answer) / F.greatest(F.char_length(expected), F.lit(1))).alias("length_ratio"),
         )
 
-    return let(tokens(answer), lambda a: let(tokens(expected), lambda b: scores(a, b)))
+    return let(tokens(answer), lambda a: let(tokens(expected), lambda b: scores(a, b))).withField("rouge_l", rouge_l(answer, expected)["f1"])
 
 
 def terminology(text: Column, jurisdiction: str = "uk") -> Column:
     """struct<legal_term_count, terms_used, terminology_density>."""
     words = F.array_distinct(tokens(text))
-    terms = TERMS.get(jurisdiction, TERMS["uk"])
+    terms = fixed.TERMS.get(jurisdiction, fixed.TERMS["uk"])
     single = F.array_intersect(words, F.array(*[F.lit(t) for t in terms if " " not in t]))
     phrases = F.array_compact(F.array(*[F.when(F.lower(text).rlike(rf"(?U)\b{t}\b"), t) for t in terms if " " in t]))
     used = F.array_sort(F.concat(single, phrases))
@@ -101,7 +93,7 @@ def quality(text: Column) -> Column:
     words = F.size(F.filter(F.split(text, r"(?U)[\s\x1C-\x1F]+"), lambda w: w != ""))
     sentences = F.size(F.filter(F.split(text, "[!.?]+"), lambda s: s.rlike(r"(?U)[^\s\x1C-\x1F]")))
     structured = text.rlike(r"\n\d+\.|\n[*•-]|\n[A-Z][^.]*:|(?U)\b(?:Third|Second|First)(?:ly)?,|In conclusion|To summari[sz]e")
-    hedges = F.regexp_count(F.lower(text), F.lit(rf"(?U)\b(?:{'|'.join(sorted(HEDGES, key=len, reverse=True))})\b"))
+    hedges = F.regexp_count(F.lower(text), F.lit(rf"(?U)\b(?:{'|'.join(sorted(fixed.HEDGES, key=len, reverse=True))})\b"))
     one = F.lit(1)
     return F.struct(words.alias("word_count"), sentences.alias("sentence_count"), (words / F.greatest(sentences, one)).alias("avg_sentence_length"), structured.alias("has_structure"), (hedges / F.greatest(words / 100, F.lit(1.0))).alias("hedging_score"))
 

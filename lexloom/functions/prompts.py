@@ -7,21 +7,27 @@ from string import Formatter
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TASK, _MORE, _DO = "Below is an instruction that describes a task", "paired with an input that provides further context", "Write a response that appropriately completes the request."
+from . import fixed
 
 
 def _filled(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
+def _filled_in(form: str, values: dict[str, Column]) -> Column:
+    """A format string with columns in its places; doubled braces stand for single ones."""
+    parts = [p for literal, name, *_ in Formatter().parse(form) for p in ([F.lit(literal)] if literal else []) + ([values[name]] if name else [])]
+    return F.concat(*parts) if parts else F.lit("")
+
+
 def instruction_format(instruction: Column, response: Column | None = None, context: Column | None = None, template: str = "alpaca", system: str | None = None) -> Column:
     """One training text; without a response it ends where the answer begins. template: alpaca, chatml or a format string with {instruction}."""
     text, none = F.lit, F.lit(None).cast("string")
     response, context = none if response is None else response, none if context is None else context
     with_context = _filled(context)
     if template == "alpaca":
-        head = F.when(with_context, F.concat(text(f"{_TASK}, {_MORE}. {_DO}\n\n### Instruction:\n"), instruction, text("\n\n### Input:\n"), context)).otherwise(F.concat(text(f"{_TASK}. {_DO}\n\n### Instruction:\n"), instruction))
-        return F.concat(head, text("\n\n### Response:\n"), F.coalesce(response, text("")))
+        values = {"instruction": instruction, "context": context}
+        return F.concat(F.when(with_context, _filled_in(fixed.ALPACA_WITH_CONTEXT, values)).otherwise(_filled_in(fixed.ALPACA_PLAIN, values)), F.coalesce(response, text("")))
     if template == "chatml":
         turn = lambda who: text(f"<|im_start|>{who}\n")
         user = F.when(with_context, F.concat(instruction, text("\n\n"), context)).otherwise(instruction)
@@ -31,11 +37,7 @@ def instruction_format(instruction: Column, response: Column | None = None, cont
         raise ValueError(f"unknown template {template!r}: alpaca, chatml or a format string with {{instruction}}")
     values = {"instruction": instruction, "context": F.coalesce(context, text("")), "response": F.coalesce(response, text("")), "system": text(system or "")}
 
-    def filled(form: str) -> Column:
-        parts = [p for literal, name, *_ in Formatter().parse(form) for p in ([text(literal)] if literal else []) + ([values[name]] if name else [])]
-        return F.concat(*parts) if parts else text("")
-
-    return F.when(response.isNotNull(), filled(template)).otherwise(filled(template.split("{response}", 1)[0]))
+    return F.when(response.isNotNull(), _filled_in(template, values)).otherwise(_filled_in(template.split("{response}", 1)[0], values))
 
 
 def is_instruction(instruction: Column, response: Column) -> Column:

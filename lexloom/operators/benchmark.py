@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import metrics as M
+from lexloom.functions.prompts import instruction_format
 
 TASKS = ("citation_accuracy", "legal_reasoning", "contract_qa", "case_summarization", "legal_ner", "clause_classification")
 #: Alternatives of which a record needs one, and lists that may hold no empty text.
@@ -43,9 +44,14 @@ def checked(records: DataFrame, task: str) -> DataFrame:
     return records
 
 
-def prompt(df: DataFrame, task: str, options: str = "options", labels: str = "labels") -> Column:
-    """The plain prompt of a record."""
+def prompt(df: DataFrame, task: str, options: str = "options", labels: str = "labels", template: str | None = None) -> Column:
+    """The prompt of a record: the user's message (template "messages"), a training template's text up to the answer, or plain."""
     context = first_of(df, "context")
+    if template is not None:
+        asked, given = _asked(df, task, options, labels)
+        if template == "messages":
+            return F.when(given != "", F.concat(asked, F.lit("\n\n"), given)).otherwise(asked)
+        return instruction_format(asked, context=F.nullif(given, F.lit("")), template=template)
     lines = lambda *parts: F.concat_ws("\n\n", *parts)
     if task == "contract_qa":
         return lines(F.concat(F.lit("Contract:\n"), context), F.concat(F.lit("Question: "), F.col("question")), F.lit("Answer:"))
@@ -61,10 +67,22 @@ def prompt(df: DataFrame, task: str, options: str = "options", labels: str = "la
     return F.when(context != "", lines(context, question)).otherwise(question)
 
 
-def answered(records: DataFrame, task: str, generate: Callable[[str], str]) -> DataFrame:
+def _asked(df: DataFrame, task: str, options: str, labels: str) -> tuple[Column, Column]:
+    """What is asked, and the text that it is asked about."""
+    kinds = lambda c: F.array_join(F.col(c), ", ") if c in df.columns else F.lit("any")
+    fixed = {
+        "case_summarization": lambda: (F.lit("Summarise the following legal document."), first_of(df, "document", "text")),
+        "legal_ner": lambda: (F.concat(F.lit("List the entities of these kinds, one on a line as LABEL: text. Kinds: "), kinds(labels)), F.col("text")),
+        "clause_classification": lambda: (F.concat(F.lit("Name the kind of this clause. Kinds: "), kinds(options)), F.col("text")),
+    }
+    names = ("prompt", "text", "question") if task == "citation_accuracy" else ("prompt", "question")
+    return fixed[task]() if task in fixed else (first_of(df, *names), first_of(df, "context"))
+
+
+def answered(records: DataFrame, task: str, generate: Callable[[str], str], template: str | None = None) -> DataFrame:
     """records with ``response`` by a function of the prompt; all are checked before any is asked."""
     ask = F.pandas_udf(lambda texts: texts.map(generate), "string")
-    return checked(records, task).withColumn("response", ask(prompt(records, task)))
+    return checked(records, task).withColumn("response", ask(prompt(records, task, template=template)))
 
 
 def _mean(**scores: Column) -> list[Column]:
@@ -149,8 +167,16 @@ def suite_summary(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("metric").agg(F.avg("value").alias("value"))
 
 
-def evaluate(data: dict[str, DataFrame], tasks: tuple[str, ...] = TASKS, max_samples: int | None = None, generate: Callable[[str], str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+def evaluate(data: dict[str, DataFrame], tasks: tuple[str, ...] = TASKS, max_samples: int | None = None, generate: Callable[[str], str] | None = None, template: str | None = None) -> tuple[DataFrame, dict[str, str]]:
     """(task metrics, tasks left out with the reason). All tasks are checked before any is run."""
+    results, skipped = run(data, tasks, max_samples, generate, template)
+    return task_metrics({t: sums for t, (_, sums) in results.items()}), skipped
+
+
+def run(data: dict[str, DataFrame], tasks: tuple[str, ...] = TASKS, max_samples: int | None = None, generate: Callable[[str], str] | None = None, template: str | None = None) -> tuple[dict[str, tuple[DataFrame, DataFrame]], dict[str, str]]:
+    """(task: its rows with scores, and their aggregates; tasks left out with the reason)."""
+    if unknown := set(tasks) - set(TASKS):
+        raise ValueError(f"unknown tasks {sorted(unknown)}")
     skipped, chosen = {t: "no test data provided" for t in tasks if t not in data}, {}
     for t in tasks:
         if t in data:
@@ -161,4 +187,17 @@ def evaluate(data: dict[str, DataFrame], tasks: tuple[str, ...] = TASKS, max_sam
                 chosen[t] = checked(rows, t)
     if not chosen:
         raise ValueError("no task has test data")
-    return task_metrics({t: EVALUATORS[t](answered(d, t, generate) if generate else d)[1] for t, d in chosen.items()}), skipped
+    return {t: EVALUATORS[t](answered(d, t, generate, template) if generate else d) for t, d in chosen.items()}, skipped
+
+
+def save(results: dict[str, tuple[DataFrame, DataFrame]], path: str, skipped: dict[str, str] | None = None, samples: bool = True) -> None:
+    """Under the path: ``metrics`` (task, metric, value, samples), ``skipped`` and, if asked for, ``samples/task=...``, all as JSON lines.
+
+    Rows with scores hold the answers, so they are as confidential as the records.
+    """
+    metrics = task_metrics({t: sums for t, (_, sums) in results.items()})
+    metrics.coalesce(1).write.json(f"{path}/metrics")
+    spark = metrics.sparkSession
+    spark.createDataFrame(list((skipped or {}).items()), "task string, reason string").coalesce(1).write.json(f"{path}/skipped")
+    for task, (rows, _) in results.items() if samples else ():
+        rows.write.json(f"{path}/samples/task={task}")

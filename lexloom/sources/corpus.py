@@ -5,14 +5,18 @@ samples: pos, text, instruction, response, document_type, jurisdiction, source,
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions import fixed
+
 TEXT, CONTEXT = ("text", "input", "context", "document", "content", "body"), ("input", "context", "document", "content", "body", "text")
 INSTRUCTION, RESPONSE = ("instruction", "prompt", "question", "query"), ("response", "output", "answer", "completion", "target")
-FOLDERS = {k: v for v, ks in {"contract": "agreement agreements contract contracts", "case": "case cases judgment judgments judgement judgements", "legislation": "legislation statutes"}.items() for k in ks.split()}
 OWN = ("document_type", "jurisdiction", "source", "metadata")
 
 
@@ -53,47 +57,118 @@ def from_texts(spark: SparkSession, texts: Iterable[str], document_type: str = "
     return rows.select("pos", "text", null.alias("instruction"), null.alias("response"), F.lit(document_type).alias("document_type"), F.lit(jurisdiction).cast("string").alias("jurisdiction"), F.lit(source).cast("string").alias("source"), F.create_map().cast("map<string,string>").alias("metadata"))
 
 
-def _name(path: Column, root: str) -> Column:
-    return F.substring_index(path, "/", -1) if not root else F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
+KINDS = ("jsonl", "json", "txt", "md")
+
+
+def _name(root: str | None) -> Column:
+    """A file's path below the root, or its last part."""
+    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    return F.substring_index(path, "/", -1) if root is None else F.regexp_replace(path, "^.*?" + re.escape(root.rstrip("/").split("://")[-1]) + "/", "")
+
+
+def _files(spark: SparkSession, path: str, kind: str, root: str | None, recursive: bool, whole: bool) -> DataFrame:
+    """name, block, value: lines, or whole files, of that kind; hidden ones left out. No files are no rows."""
+    empty = spark.createDataFrame([], "name string, block long, value string")
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    if root is not None:
+        either = "".join(f"[{c.lower()}{c.upper()}]" for c in kind)
+        reader = reader.option("pathGlobFilter", f"*.{either}")
+    try:
+        rows = reader.text(path, wholetext=whole).select(_name(root).alias("name"), F.col("_metadata.file_block_start").alias("block"), "value")
+    except AnalysisException as error:
+        if root is not None and "PATH_NOT_FOUND" not in str(error):
+            return empty
+        raise
+    return rows.filter(~F.col("name").rlike(r"(^|/)\."))
+
+
+def _checked(record: Column, place: Column) -> Column:
+    """The record, if it is a JSON object; a row that isn't raises with its place."""
+    bad = F.try_parse_json(record).isNull() | ~F.ltrim(record).startswith("{")
+    return F.when(bad, F.raise_error(F.concat(place, F.lit(": not a JSON object")))).otherwise(record)
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """name, block, value (a line each) -> name, n (its place among its file's records), record, source (name#line). Blank lines count as lines.
 
+    Files are read in blocks, side by side. Within a block lines are numbered as they are read; how many lines and records the
+    blocks before hold is summed over a table of one row a block.
+    """
+    read = lines.withColumn("m", F.monotonically_increasing_id())
+    kept = read.filter(F.trim("value") != "").withColumn("k", F.monotonically_increasing_id())
+    blocks = read.groupBy("name", "block").agg(F.min("m").alias("m0"), F.count("*").alias("lines"), F.count_if(F.trim("value") != "").alias("records"))
+    firsts = kept.groupBy("name", "block").agg(F.min("k").alias("k0"))
+    before = lambda c: F.coalesce(F.sum(c).over(Window.partitionBy("name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.join(firsts, ["name", "block"]).select("name", "block", "m0", "k0", before("lines").alias("l"), before("records").alias("r"))
+    rows = kept.join(starts, ["name", "block"]).select("name", (F.col("r") + F.col("k") - F.col("k0")).alias("n"), (F.col("l") + F.col("m") - F.col("m0") + 1).alias("line"), "value")
+    place = F.concat_ws("#", "name", F.col("line").cast("string"))
+    return rows.select("name", "n", _checked(F.col("value"), place).alias("record"), place.alias("source"))
 
-def numbered_records(files: DataFrame, lines: bool) -> DataFrame:
-    """files: name, value (a whole file) -> pos, record, source (name#n). Line numbers count blank lines; a bad record raises."""
-    if lines:
-        rows = files.select("name", F.posexplode(F.split("value", r"\r\n|\n|\r", -1)).alias("n", "record")).filter(F.trim("record") != "")
-    else:
-        data = F.coalesce(F.from_json("value", "array<variant>"), F.from_json("value", "struct<data:array<variant>>")["data"])
-        rows = files.select("name", F.posexplode(F.when(data.isNull(), F.raise_error(F.concat("name", F.lit(": neither a list nor an object with data")))).otherwise(data)).alias("n", "v")).select("name", "n", F.to_json("v").alias("record"))
-    place = F.concat("name", F.lit("#"), (F.col("n") + 1).cast("string"))
-    bad = F.try_parse_json("record").isNull() | ~F.trim("record").startswith("{")
-    rows = rows.select("name", "n", F.when(bad, F.raise_error(F.concat(place, F.lit(": not a JSON object")))).otherwise(F.col("record")).alias("record"), place.alias("source"))
-    # one file is one row before, so its records stand together; across files the order is that of their names
-    sizes = rows.groupBy("name").agg((F.max("n") + 1).alias("size"))
-    starts = sizes.select("name", (F.sum("size").over(Window.orderBy("name")) - F.col("size")).alias("start"))
-    return rows.join(starts, "name").select((F.col("start") + F.col("n")).alias("pos"), "record", "source")
 
+def numbered_objects(files: DataFrame) -> DataFrame:
+    """name, value (a JSON file: a list, or an object with ``data``) -> name, n, record, source (name#n). Such a file is one value and so one row."""
+    data = F.coalesce(F.from_json("value", "array<variant>"), F.from_json("value", "struct<data:array<variant>>")["data"])
+    rows = files.select("name", F.posexplode(F.when(data.isNull(), F.raise_error(F.concat("name", F.lit(": neither a list nor an object with data")))).otherwise(data)).alias("n", "v"))
+    place = F.concat_ws("#", "name", (F.col("n") + 1).cast("string"))
+    return rows.select("name", F.col("n").cast("long").alias("n"), _checked(F.to_json("v"), place).alias("record"), place.alias("source"))
 
-def load(spark: SparkSession, source: str, limit: int | None = None, **defaults) -> DataFrame:
+
+def placed(rows: DataFrame) -> DataFrame:
+    """rows: name, n -> with pos: files in the order of their names. Only a count for each file is ordered and summed."""
+    files = rows.groupBy("name").agg(F.count("*").alias("size"))
+    starts = files.select("name", F.coalesce(F.sum("size").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    return rows.join(starts, "name").withColumn("pos", (F.col("start") + F.col("n")).cast("long")).drop("start")
+
+
+def _exists(spark: SparkSession, path: str) -> bool | None:
+    """Whether a file (False) or directory (True) is there; None if neither."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.getFileStatus(at).isDirectory() if system.exists(at) else None
+
+
+def load(spark: SparkSession, source: str, limit: int | None = None, recursive: bool = True, kinds: Iterable[str] = KINDS, **defaults) -> DataFrame:
     """Samples of a file (.jsonl, .json, .txt, .md) or of a directory of such, hidden ones left out, in the order of their paths."""
-    kind = source.rsplit(".", 1)[-1].lower() if "." in source.rsplit("/", 1)[-1] else ""
-    if kind and kind not in ("jsonl", "json", "txt", "md"):
+    source = os.path.expanduser(source)
+    directory = _exists(spark, source)
+    if directory is None:
+        raise FileNotFoundError(source)
+    end = source.rsplit(".", 1)[-1].lower()
+    if not directory and end not in KINDS:
         raise ValueError(f"unsupported file type: {source}")
-    reader = spark.read.option("recursiveFileLookup", "true")
-    files = reader.text(source, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    files = files.select("value", _name(F.col("path"), "" if kind else source).alias("name")).filter(~F.col("name").rlike(r"(^|/)\."))
-    of = lambda *ends: files.filter(F.lower(F.substring_index("name", ".", -1)).isin(*ends))
-    texts = of("txt", "md").select(F.to_json(F.struct(F.col("value").alias("text"))).alias("record"), F.col("name").alias("source"), F.lit(0).cast("long").alias("n"))
-    rows = texts
-    for end in ("jsonl", "json"):
-        rows = rows.unionByName(numbered_records(of(end), end == "jsonl").select("record", "source", F.col("pos").alias("n")))
-    placed = rows.select((F.row_number().over(Window.orderBy(F.substring_index("source", "#", 1), "n")) - 1).cast("long").alias("pos"), "record", "source")
-    samples = from_records(placed, **defaults)
+    root = source if directory else None
+    rows = None
+    for kind in kinds if directory else (end,):
+        files = _files(spark, source, kind, root, recursive, kind != "jsonl")
+        if kind == "jsonl":
+            own = numbered_lines(files)
+        elif kind == "json":
+            own = numbered_objects(files)
+        else:
+            own = files.select("name", F.lit(0).cast("long").alias("n"), F.to_json(F.struct(F.col("value").alias("text"))).alias("record"), F.col("name").alias("source"))
+        rows = own if rows is None else rows.unionByName(own)
+    samples = from_records(placed(rows).select("pos", "record", "source"), **defaults)
     if not defaults.get("document_type"):
         samples = samples.withColumn("document_type", F.when(F.col("document_type") == "unknown", type_of_path(F.col("source"))).otherwise(F.col("document_type")))
-    return samples if limit is None else samples.orderBy("pos").limit(limit)
+    return samples if limit is None else samples.filter(F.col("pos") < limit)
+
+
+def from_table(rows: DataFrame, order: str, text_field: str | None = None, limit: int | None = None, **defaults) -> DataFrame:
+    """Samples of any table, such as a hub's rows: each row is a record. Rows with neither text nor instruction are left out and don't count for the limit.
+
+    A text_field that isn't a column is a KeyError; without one, a table that has none of the known names is a ValueError.
+    """
+    names = [c for c in rows.columns if c != order]
+    if text_field is not None and text_field not in names:
+        raise KeyError(f"column {text_field!r} not found among {sorted(names)}")
+    if text_field is None and not set(names) & {*TEXT, *INSTRUCTION}:
+        raise ValueError(f"no column of text; text_field may be one of {sorted(names)}")
+    records = rows.select(F.col(f"`{order}`").alias("pos"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in names])).alias("record"))
+    kept = usable(from_records(records, text_key=text_field, **defaults))
+    return kept if limit is None else kept.orderBy("pos").limit(limit)
 
 
-def type_of_path(path: Column, folders: Mapping[str, str] = FOLDERS) -> Column:
+def type_of_path(path: Column, folders: Mapping[str, str] = fixed.FOLDER_TYPES) -> Column:
     """The document type that the nearest folder of a known name gives, else unknown."""
     parts = F.split(F.lower(path), "/")
     names = F.reverse(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))))
