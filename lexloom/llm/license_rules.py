@@ -1,7 +1,7 @@
 """Ordered signature rules for licences, over texts reduced to lower-case words joined by single spaces.
 
 One rule a line: priority, label, keyword, pattern. A rule is tried only on texts that hold its
-keyword. A smaller priority is stronger; at equal priority the longer match is, then the earlier rule.
+keyword, which is part of all that its pattern matches. A smaller priority is stronger; at equal priority the longer match is, then the earlier rule.
 Patterns hold only bounded repetition.
 """
 
@@ -20,9 +20,9 @@ TEXT = r"""
  this is free and unencumbered software released into the public domain
 10 zlib altered source versions
  altered source versions must be plainly marked as such
-10 bsl-1.0 boost software license
+10 bsl-1.0 person or organization obtaining
  permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
-10 wtfpl do what the fuck
+10 wtfpl copy and distribute verbatim
  everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed
 10 postgresql permission to use copy
  permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
@@ -318,13 +318,13 @@ TEXT = r"""
  gnu org licenses fdl(?: 1 \d)?
 25 mpl-2.0 mozilla org
  mozilla org (?:en us )?mpl 2 0
-25 mit opensource org licenses
+25 mit opensource org license
  opensource org licenses? mit(?: license)?
-25 bsd-3-clause opensource org licenses
+25 bsd-3-clause opensource org license
  opensource org licenses? bsd 3 clause
-25 bsd-2-clause opensource org licenses
+25 bsd-2-clause opensource org license
  opensource org licenses? bsd 2 clause
-25 isc opensource org licenses
+25 isc opensource org license
  opensource org licenses? isc
 25 unlicense unlicense org
  unlicense org
@@ -352,7 +352,7 @@ TEXT = r"""
  (?:bsd zero clause|zero clause bsd|0bsd)(?: license)?
 30 isc isc license
  isc license
-30 zlib zlib license
+30 zlib zlib
  zlib(?: libpng)? license
 30 libpng libpng license
  libpng license
@@ -456,7 +456,7 @@ TEXT = r"""
  server side public license
 40 elastic elastic license
  elastic license
-40 bsd bsd license
+40 bsd bsd
  bsd (?:style )?license
 40 bsd bsd style
  bsd style
@@ -500,11 +500,11 @@ TEXT = r"""
  unauthorized copying of this file(?: via any medium)? is strictly prohibited
 50 proprietary confidential
  confidential and proprietary
-60 other-license license
+60 other-license licen
  licensed under (?:the )?(?:terms of )?(?:the )?\S+(?: \S+){0,3}? licen[cs]e
-60 other-license license
+60 other-license licen
  (?:released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?\S+(?: \S+){0,3}? licen[cs]e
-60 other-license see license
+60 other-license license
  see (?:the )?license(?: file| txt| md)?(?: in the project root)? for (?:details|full license information|more information)
 70 copyright copyright
  copyright (?:c )?(?:19|20)\d\d

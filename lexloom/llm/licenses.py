@@ -6,7 +6,8 @@ automaton has seen its keyword. A detection within the words of a stronger one i
 
 Defined cases: a null text has no words and no labels; empty label lists are empty strings, and
 first_word and last_word null without a base phrase; repeated rows are scanned each; a text of any
-length is scanned whole.
+length is scanned whole; an empty table gives an empty result; columns beside the id and text play no part;
+of detections as strong and as long the earlier rule's holds.
 """
 
 from __future__ import annotations

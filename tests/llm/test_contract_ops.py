@@ -51,6 +51,63 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def matches_of(pattern):
+    """Texts that the pattern matches: each alternative and each option taken and left in turn, the others at their first."""
+    from re import _constants as K
+    from re import _parser as parser
+
+    def first_and_more(node):
+        op, arg = node
+        if op is K.LITERAL:
+            return [chr(arg)]
+        if op is K.NOT_LITERAL:
+            return ["x"]
+        if op is K.IN:
+            return [{K.CATEGORY: "7"}[arg[0][0]]] if arg[0][0] is K.CATEGORY and arg[0][1] is K.CATEGORY_DIGIT else ["x"] if arg[0][0] in (K.CATEGORY, K.NEGATE) else [chr(c) for k, c in arg if k is K.LITERAL] or [chr(arg[0][1][0])]
+        if op in (K.MAX_REPEAT, K.MIN_REPEAT):
+            least, _, inner = arg
+            own = whole(inner)
+            return [o * least for o in own[:1]] + [o * max(1, least) for o in own]
+        if op is K.SUBPATTERN:
+            return whole(arg[3])
+        if op is K.BRANCH:
+            return [x for each in arg[1] for x in whole(each)]
+        return [""]
+
+    def whole(nodes):
+        parts = [first_and_more(n) for n in nodes]
+        out = ["".join(p[0] for p in parts)]
+        return out + ["".join(alt if k == j else p[0] for k, p in enumerate(parts)) for j, each in enumerate(parts) for alt in each[1:]]
+
+    return whole(parser.parse(pattern))
+
+
+def ungated(text):
+    """What scan() finds, by trying every rule and holding every pair of detections against each other."""
+    line = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+    hits = [(p, m.start() - m.end(), k, m.start(), m.end(), label) for k, (p, label, _, pattern) in enumerate(licenses.rules()) for m in re.finditer(f"(?<!\\S)(?:{pattern})(?!\\S)", line)]
+    kept = []
+    for h in sorted(hits):
+        if not any(g[3] <= h[3] and h[4] <= g[4] for g in kept):
+            kept.append(h)
+    return [(label, k, line.count(" ", 0, a), line.count(" ", a, b) + 1, p) for p, _, k, a, b, label in sorted(kept, key=lambda h: (h[3], h[4], h[2]))]
+
+
+def test_every_rule_finds_what_its_pattern_matches():
+    rng = random.Random(12)
+    every = [(k, m) for k, (_, _, _, pattern) in enumerate(licenses.rules()) for m in matches_of(pattern)]
+    assert {k for k, _ in every} == set(range(len(licenses.rules()))) and len(every) > 400
+    for k, m in every:
+        assert licenses.rules()[k][2] in " ".join(m.split()), (k, m)
+        text = f"Before, {m.title()}; after"
+        assert licenses.scan(text.encode())[2] == ungated(text) != []
+    for k in range(300):
+        text = " ".join(rng.choice(every)[1] if rng.random() < 0.6 else rng.choice(["and", "license", "version 2.0", "the", "or later"]) for _ in range(rng.randint(1, 9)))
+        assert licenses.scan(text.encode())[2] == ungated(text)
+    for other in ("permission granted by the mayor", "a driving licence under review", "apache helicopter", "the mit campus", "gnu herds", "copyright law", "open source code"):
+        assert licenses.scan(other.encode())[2] == ungated(other) == []
+
+
 # --- 2
 
 def test_decontamination(spark):
