@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,10 +37,13 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which driver and executors share; a temporary one only where that is unset."""
+    """The folder that spark.checkpoint.dir names, which driver and executors share. Where that is unset, a temporary one in local mode only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexloom-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexloom-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -48,6 +53,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cuts the lineage by a Parquet table in the shared folder: smaller than a checkpoint, and read by column."""
+    path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], by: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about that many bytes of the column, at least one row each."""
     for batch in batches:

@@ -1,18 +1,21 @@
 """Line dedup over a corpus: a line that equals an earlier line, or lies one edit from one, goes. DataFrame functions only.
 
 Lines are ordered by document and place. Equal lines are found by 128 bits of hashes. One edit is a
-character inserted, deleted or substituted. Lines of at least MIN_EDIT characters are compared with
+character inserted, deleted or substituted. Lines of all lengths are compared with
 all others of their length or one more or less by a deletion-neighbourhood join: cut into segments, a pair
 one edit apart differs within one segment only, so lines first meet under hashes of all but one half, then
 of all but one small segment; only those that meet emit the variants of that segment with one character
 deleted, as hashed keys. A substituted pair shares a variant with the place of the deletion; of an
 inserted pair the longer one's variant is the shorter one. So a key's members needn't be paired among
 each other: the earliest settles all, and a key that many lines share costs no more than its members. What
-is found is verified by edit distance.
+is found is verified by edit distance. Lines that very many documents hold are marked by a broadcast
+of at most HOT_LINES keys, all others by a join, so that no line gathers its places in one task.
 
 Defined cases: a null text stays null and has no lines; lines of white space only stay and
 count as none; a text whose lines all go is empty; rows that agree in doc_id and text are one document and
-lose the same lines; a null doc_id comes first; the line that stays is the earliest, whether or not lines it resembles stay.
+lose the same lines, while rows that share only their doc_id are told apart by their texts' hashes; a null
+doc_id comes first; an empty table gives an empty result; other columns come through, whatever their names; a text
+of any length is split whole, a document's line marks are one row; the line that stays is the earliest, whether or not lines it resembles stay.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, columns, let, table
+from .common import checkpointed, columns, let, stored, table
 
-MIN_EDIT = 16
+#: Lines found more often than the number of lines over HOT_LINES are at most so many; below HOT_TIMES places a line isn't hot.
+HOT_LINES, HOT_TIMES = 50_000, 100
 NULL_ID = -(1 << 63)
 _REST = "xxhash64(m, j, substring(line, 1, j * m DIV k), substring(line, n - (m - (j + 1) * m DIV k) + 1, m - (j + 1) * m DIV k))"
 _MIDDLE = "substring(line, j * m DIV k + 1, n - j * m DIV k - (m - (j + 1) * m DIV k))"
@@ -39,32 +43,38 @@ def hashes(line: str = "line") -> list[Column]:
 
 
 def _halves() -> Column:
-    """The four hashes under which a line meets those one edit away; null for short lines."""
+    """The four hashes under which a line meets those one edit away."""
     half = lambda m, j: f"xxhash64({m}, {j}, substring(line, 1, {j} * {m} DIV 2), substring(line, n - ({m} - ({j} + 1) * {m} DIV 2) + 1, {m} - ({j} + 1) * {m} DIV 2))"
-    return F.expr(f"CASE WHEN n >= {MIN_EDIT} THEN array({', '.join(half(m, j) for m in ('n', '(n - 1)') for j in (0, 1))}) END")
+    return F.expr(f"array({', '.join(half(m, j) for m in ('n', '(n - 1)') for j in (0, 1))})")
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, hot_times: int = HOT_TIMES) -> DataFrame:
     """docs: doc_id, text -> d, t, pos of every line that goes."""
     lines = lines_of(docs)
     keyed = lines.select("d", "t", "pos", F.length("line").alias("n"), "line").select("d", "t", "pos", *hashes(), _halves().alias("halves"))
-    distinct = checkpointed(keyed.groupBy("h", "g").agg(F.min(F.struct("d", "pos", "t")).alias("first"), F.count("*").alias("times"), F.any_value("halves").alias("halves")))
+    distinct = stored(keyed.groupBy("h", "g").agg(F.min(F.struct("d", "pos", "t")).alias("first"), F.count("*").alias("times"), F.any_value("halves").alias("halves")), "lines")
     near = near_lines(docs, distinct)
-    marked = distinct.join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").filter("times > 1 or near").select("h", "g", "first", "near")
-    every = lines.select("d", "t", "pos", *hashes())
-    return every.join(marked, ["h", "g"]).filter("near or (d, pos, t) <> (first.d, first.pos, first.t)").select("d", "t", "pos")
+    marked = distinct.join(near.withColumn("near", F.lit(True)), ["h", "g"], "left").filter("times > 1 or near").select("h", "g", "first", "times", F.coalesce("near", F.lit(False)).alias("near"))
+    total = distinct.agg(F.sum("times")).first()[0] or 0
+    often = max(hot_times, total // HOT_LINES)
+    goes = F.expr("near is not null and (near or (d, pos, t) <> (first.d, first.pos, first.t))")
+    places = lines.select("d", "t", "pos", *hashes()).join(F.broadcast(marked.filter(F.col("times") > often).drop("times")), ["h", "g"], "left")
+    # places of hot lines are decided; they go on under keys of their own, which deal them out and meet nothing
+    cold = F.col("near").isNull()
+    settled = places.select("d", "t", "pos", F.when(cold, F.col("h")).otherwise(F.xxhash64("d", "t", "pos")).alias("h"), F.when(cold, F.col("g")).alias("g"), goes.alias("settled"))
+    return settled.join(marked.filter(F.col("times") <= often).drop("times"), ["h", "g"], "left").filter(F.col("settled") | goes).select("d", "t", "pos")
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """h, g of the distinct lines that lie one edit from an earlier one."""
-    met = distinct.filter("halves is not null").select("h", F.explode("halves").alias("half"))
+    met = distinct.select("h", F.explode("halves").alias("half"))
     shared = met.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
     wanted = met.join(shared, "half", "left_semi").select("h").distinct()
     where = distinct.join(wanted, "h", "left_semi").groupBy("first.d", "first.t").agg(F.collect_list(F.struct("first.pos", "h", "g")).alias("at"))
     texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), F.xxhash64("text").alias("t"), "text").join(where, ["d", "t"])
     own = let(F.split("text", "\n", -1), lambda lines: F.transform("at", lambda a: F.struct(a["pos"].alias("pos"), a["h"].alias("h"), a["g"].alias("g"), F.get(lines, a["pos"]).alias("line"))))
     some = texts.select("d", "t", F.explode(own).alias("a")).select("d", "t", "a.*")
-    some = checkpointed(some.dropDuplicates(["h", "g"]).select("h", "g", F.struct("d", "pos", "t", "h", "g").alias("at"), "line", F.length("line").alias("n")))
+    some = stored(some.dropDuplicates(["h", "g"]).select("h", "g", F.struct("d", "pos", "t", "h", "g").alias("at"), "line", F.length("line").alias("n")), "near-lines")
     parts = some.select("*", F.explode(F.expr("array(n, n - 1)")).alias("m")).withColumn("k", F.expr("CAST(greatest(2, floor(sqrt(m))) AS INT)"))
     cut = parts.select("*", F.explode(F.expr("sequence(0, k - 1)")).alias("j")).select("at", "n", "m", F.expr(_REST).alias("rest"), F.expr(_MIDDLE).alias("middle"))
     crowd = cut.groupBy("rest").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most")).filter("c > 1").select("rest")
@@ -90,8 +100,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = removals(columns(docs, doc_id=id_col, text=text_col))
     words = gone.groupBy("d", "t", F.expr("pos DIV 64").cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     masks = words.groupBy("d", "t").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("mask"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("d"), F.xxhash64(F.col(f"`{text_col}`")).alias("t"), F.split(F.col(f"`{text_col}`"), "\n", -1).alias("lines"))
-    rows = rows.join(masks, ["d", "t"], "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("d"), F.xxhash64(F.col(f"`{text_col}`")).alias("t"))
+    rows = rows.join(masks, ["d", "t"], "left").select("row", "mask", F.split(F.col(f"row.`{text_col}`"), "\n", -1).alias("lines"))
     dense = F.expr("transform(sequence(0, array_max(map_keys(mask))), w -> coalesce(mask[w], 0L))")
     stays = lambda mask: F.filter("lines", lambda x, i: F.coalesce(F.getbit(F.get(mask, F.shiftright(i, 6)), i % 64), F.lit(0)) == 0)
     kept = F.when(F.col("mask").isNull(), F.col("lines")).otherwise(let(dense, stays))
@@ -117,7 +127,7 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents
 ), u AS (SELECT * FROM l WHERE regexp_matches(line, '{_BLANK}')),
 f AS (SELECT line, min((doc_id, pos)) AS top, length(line) AS n FROM u GROUP BY line),
-s AS (SELECT *, unnest([n, n - 1]) AS m FROM f WHERE n >= {MIN_EDIT}),
+s AS (SELECT *, unnest([n, n - 1]) AS m FROM f),
 k AS (SELECT line, top, n, m, 0 AS half, left(line, m // 2) AS part FROM s UNION ALL SELECT line, top, n, m, 1, right(line, m - m // 2) FROM s),
 near AS (
   SELECT DISTINCT b.line FROM k a JOIN k b ON a.half = b.half AND a.part = b.part AND a.m = b.m AND a.top < b.top AND abs(a.n - b.n) <= 1

@@ -413,8 +413,7 @@ def brute_lines(texts):
     every = [(d, k, x) for d, t in enumerate(texts) if t is not None for k, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
     for d, k, x in every:
         first.setdefault(x, (d, k))
-    long = [x for x in first if len(x) >= lines.MIN_EDIT]
-    near = {x for x in long if any(abs(len(x) - len(y)) <= 1 and first[y] < first[x] and lev(x, y) <= 1 for y in long if y != x)}
+    near = {x for x in first if any(abs(len(x) - len(y)) <= 1 and first[y] < first[x] and lev(x, y) <= 1 for y in first if y != x)}
     gone = {(d, k) for d, k, x in every if first[x] != (d, k) or x in near}
     return [None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in enumerate(texts)]
 
@@ -427,7 +426,10 @@ def test_line_dedup(spark):
         k = rng.randrange(len(x))
         return rng.choice([x, x, x[:k] + x[k + 1 :], x[:k] + rng.choice("abé") + x[k:], x[:k] + "q" + x[k + 1 :], x[:k] + "zz" + x[k:]])
 
-    texts = EDGE + ["\n".join(rng.choice([edited(rng.choice(pool)), prose(rng, 6), " ", ""]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    short = ["a", "b", "ab", "é", "xyz", "xyzw", "12", "123456", "124456", "short line abc", "short line abd"]
+    texts = EDGE + ["\n".join(rng.choice([edited(rng.choice(pool)), prose(rng, 6), " ", "", edited(rng.choice(short))]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    gone = [sorted(map(tuple, lines.removals(docs(spark, texts).select("doc_id", "text"), hot).collect())) for hot in (1, 3, 1000)]
+    assert gone[0] == gone[1] == gone[2] and len(gone[0]) > 100
     got = {r.row.doc_id: r for r in lines.without_repeats(docs(spark, texts)).collect()}
     assert [got[k].text for k in range(len(texts))] == brute_lines(texts)
     out = lines.dedup_lines(docs(spark, texts))
