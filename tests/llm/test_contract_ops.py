@@ -210,30 +210,59 @@ def test_toxicity(spark):
     assert len(odd) == len(EDGE) and {r.score for r in odd} == {0.0}
     shuffled = toxicity.score_toxicity(docs(spark, texts), labels, broadcast_rows=0).collect()
     assert {r.doc_id: r.score for r in shuffled} == {k: r.score for k, r in rows.items()}
+    joined = toxicity.score_toxicity(docs(spark, texts), labels.withColumns({"text": F.lit("x"), "held_out": F.lit(1)}), broadcast_entries=0).collect()
+    assert {r.doc_id: r.score for r in joined} == pytest.approx({k: r.score for k, r in rows.items()})
     changed = labels.withColumn("toxic", F.when(crc_mod(F.col("doc_id"), 3) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert {r.doc_id: r.score for r in toxicity.score_toxicity(docs(spark, texts), changed).collect()} == {k: r.score for k, r in rows.items()}
 
 
-def test_pair_sums(spark):
-    rng = random.Random(7)
-    texts = [(" ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 30))), rng.randint(0, 1)) for _ in range(80)]
-    got = toxicity.sums_of(spark.createDataFrame(texts, "text string, toxic int").repartition(3)).collect()
-    kept = {r.key: (r.n0, r.n1) for r in got if r.kind == toxicity.KEPT}
-    seen = {}
-    for text, toxic in texts:
-        words = [0, 0, *(toxicity.Buckets()[w.encode()] for w in text.split())]
-        for a, b, c in zip(words, words[1:], words[2:], strict=False):
-            seen.setdefault(b << 16 | c, (set(), set()))[toxic].add(a)
-    want = {p: tuple(map(len, s)) for p, s in seen.items()}
-    cells = toxicity.cell_of(np.array(list(want), np.uint32))
-    if len(set(cells.tolist())) == len(want):
-        assert kept == want
-    for kind, of in ((toxicity.CONTEXT, lambda p: p >> 16), (toxicity.CONTINUED, lambda p: p & 65535)):
+def plain_ratio(train, text):
+    """The largest mean over passages and the mean over all, from the definition, with words themselves instead of hashes."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    triples = ({}, {})
+    for t, toxic in train:
+        w = ["", "", *split(t)]
+        for a, b, c in zip(w, w[1:], w[2:], strict=False):
+            triples[toxic > 0].setdefault((b, c), set()).add(a)
+    pairs = [{p: len(s) for p, s in t.items()} for t in triples]
+    words = [{}, {}]
+    for c in (0, 1):
+        for _, w in pairs[c]:
+            words[c][w] = words[c].get(w, 0) + 1
+
+    def lift(counts, key):
+        both = [c.get(key, 0) for c in counts]
+        if sum(both) < 2:
+            return 0.0, 0.0
+        out = []
         for c in (0, 1):
-            sums = {}
-            for p, n in want.items():
-                sums[of(p)] = sums.get(of(p), 0) + (n[c] if kind == toxicity.CONTEXT else n[c] > 0)
-            assert {r.key: r[2 + c] for r in got if r.kind == kind} == {k: int(v) for k, v in sums.items()} | {r.key: 0 for r in got if r.kind == kind and r.key not in sums}
+            once, twice = (sum(v == k for v in counts[c].values()) for k in (1, 2))
+            d = once / (once + 2 * twice) if once else 0.5
+            out.append(max(both[c] - d, 0) / sum(counts[c].values()) / (sum(both) / sum(sum(x.values()) for x in counts)))
+        return tuple(out)
+
+    own = ["", *split(text)]
+    each = []
+    for u, w in zip(own, own[1:], strict=False):
+        of_word, of_pair = lift(words, w), lift(pairs, (u, w))
+        logs = [np.log(toxicity.PAIR_BACK * (toxicity.WORD_BACK + (1 - toxicity.WORD_BACK) * of_word[c]) + (1 - toxicity.PAIR_BACK) * of_pair[c]) for c in (0, 1)]
+        each.append(logs[1] - logs[0])
+    n = min(toxicity.PASSAGE, len(each))
+    return (max(np.mean(each[k : k + n]) for k in range(len(each) - n + 1)), np.mean(each)) if each else (0.0, 0.0)
+
+
+@pytest.mark.parametrize("most", [toxicity.BROADCAST_ENTRIES, 0])
+def test_kneser_ney_ratios(spark, most):
+    rng = random.Random(7)
+    train = [(" ".join(rng.choice("abcdefgh" if toxic else "abcdefxyz") for _ in range(rng.randint(0, 30))), toxic) for toxic in rng.choices([0, 1], k=60)]
+    train += [train[0], (None, 1), ("", 0), ("lone", 1)]
+    model = toxicity.learn(spark.createDataFrame(train, "text string, toxic int").repartition(3), most)
+    texts = [None, "", "a", "a b", "new words only", *[t for t, _ in train[:10]], "A h, H g g! x y z " * 40, "a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.ratio, r.text_ratio) for r in toxicity.ratios(rows, model, "doc_id").collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        assert got[k] == pytest.approx(plain_ratio(train, t), abs=1e-6)
 
 
 # --- 7
