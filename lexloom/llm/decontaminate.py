@@ -1,126 +1,208 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
-Numbers, names (capitalised words within a sentence) and units after numbers become typed
-placeholders; the rest is lower-cased words. Windows of five such words are hashed. A document's
-windows pass a Bloom filter of the benchmark's windows, a column in its own row, so that only possible hits
-leave the row; these meet the benchmark's windows in a hash join. A document leaks an item if at one
-alignment at least 0.8 of the item's windows match and its slots are consistent: one value in the item
-stands for one value in the document, and the other way round. So a question asked again with other
-numbers, names or units is found too.
-
-Defined cases: a null text has no windows; items of fewer than five words have none and are never
-found; repeated items are reported each, repeated documents are told apart by doc_id and text; several
-alignments of a pair are reported as the one with most windows, then the earliest.
+Numbers, units after numbers and runs of names become typed placeholders; the rest is lower-cased words. What
+is a name is the same for all texts: a word that the benchmark has capitalised within a sentence and never in
+lower case, in any case; else a capitalised word that the benchmark never has in lower case; a word that
+it has both ways is one where it is capitalised within a sentence. So a copy in capitals or in lower case is
+found, and any name, of several words too, may stand in a name's place. Words are known by BUCKETS hashes.
+
+Windows of five template words, two of them no placeholders, are hashed. Of an item with n windows the
+rarest n - ceil(0.8 n) + 1 are its keys: a document that holds 0.8 of them holds one of these. Documents'
+windows meet the keys in a hash join; documents and items that met are then compared on all windows, so that
+a window which many items share brings no pairs of its own. A document leaks an item if at one alignment, or within
+a fifth of the item's length of one (words put in or left out), at least 0.8 of the item's windows match and the slots
+are consistent: one value in the item stands for one value in the document, and the other way round.
+An item with fewer than five template words, or without windows, is found where all its words stand in a
+row, unchanged; one of fewer than three words only where it is the whole document.
+
+Defined cases: a null text has no words; an item without words is never found; repeated items are
+reported each, repeated documents are told apart by doc_id and text, so a repeated row is reported once; of several alignments of a
+pair that with most windows is reported, then the earliest; an empty table gives an empty result; other columns of
+both tables play no part; a text of any length is compared whole, with its windows as one row's array.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, columns, let, table
+from .common import columns, let, stored, table
 
-WINDOW, SHARE = 5, 0.8
-BITS_PER_KEY, HASHES = 64, 3
-#: Up to so many distinct windows the filter (8 bytes each) and the broadcast of the windows are used, else a shuffled join of all windows.
-MAX_KEYS = 2_000_000
-NUMBER_WORDS = "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion"
+WINDOW, SHARE, LITERALS, SHORTEST = 5, 0.8, 2, 3
+BUCKETS = 1 << 20
+#: Rows of 16 to 24 bytes up to which keys and candidates are broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+).split()
 UNITS = (
-    "mm|cm|km|m|metres?|meters?|kilometres?|kilometers?|inch(?:es)?|feet|foot|ft|yards?|miles?|mg|kg|g|grams?|kilograms?|tons?|tonnes?|pounds?|lbs?|ounces?|oz|ml|l|litres?|liters?|gallons?|seconds?|secs?|minutes?|mins?|hours?|hrs?|days?|weeks?|months?|years?|"
-    "euros?|eur|dollars?|usd|cents?|gbp|percent|degrees?|mph|kmh|watts?|kw|kwh|volts?|amps?|hz|khz|mhz|ghz|kb|mb|gb|tb|acres?|hectares?"
-)
+    "mm cm km m metre metres meter meters kilometre kilometres kilometer kilometers inch inches feet foot ft yard yards mile miles mg kg g gram grams kilogram kilograms ton tons tonne tonnes pound pounds lb lbs ounce ounces oz ml l litre litres liter liters "
+    "gallon gallons second seconds sec secs minute minutes min mins hour hours hr hrs day days week weeks month months year years euro euros eur dollar dollars usd cent cents gbp percent degree degrees mph kmh watt watts kw kwh volt volts amp amps hz khz mhz ghz kb mb gb tb acre acres hectare hectares"
+).split()
+END = "¶"
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}§]+", " ")), " "), lambda w: w != "")
+def raw_words(text: Column) -> Column:
+    """The words, with END at those before the end of a sentence or line; separators within numbers are taken out, a number's unit is a word."""
+    marked = F.translate(F.regexp_replace(text, r"(?<=\d)[.,:/](?=\d)", ""), ".!?:\n", END * 5)
+    return F.filter(F.split(F.regexp_replace(marked, rf"[^\p{{L}}\p{{N}}{END}]+|(?<=\d)(?=\p{{L}})", " "), " "), lambda w: F.btrim(w, F.lit(END)) != "")
 
 
-def plain(text: Column) -> Column:
-    """The text with separators within numbers taken out, so that a number is one word."""
-    return F.regexp_replace(F.regexp_replace(text, "§", " "), r"(?<=\d)[.,:/](?=\d)", "")
+def lowered(raw: Column) -> Column:
+    return F.transform(raw, lambda w: F.lower(F.btrim(w, F.lit(END))))
 
 
-def templated(text: Column) -> Column:
-    """The plain text with placeholders; as many words as the plain text, place by place."""
-    out = F.regexp_replace(text, r"(?<=[^\s.!?:] )\p{Lu}\p{Ll}\p{L}*", "§n")
-    out = F.regexp_replace(out, rf"\d+|\b(?i:{NUMBER_WORDS})\b", "§d")
-    return F.regexp_replace(out, rf"(?<=§d ?)(?i:{UNITS})(?![\p{{L}}\p{{N}}])", "§u")
+def bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def windowed(rows: DataFrame, *keep: str, wanted=None) -> DataFrame:
-    """rows: text -> the columns named, plain and hits: place and hash of each window of the template, or of those that ``wanted`` of the hash holds."""
+def is_capitalised(raw: Column, low: Column) -> Column:
+    """An upper-case letter with no other after it."""
+    own = F.btrim(raw, F.lit(END))
+    return (F.substring(own, 1, 1) != F.substring(low, 1, 1)) & (F.length(own) > 1) & (F.substring(own, 2, 1) == F.substring(low, 2, 1))
 
-    def hashed(words: Column) -> Column:
-        window = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])
-        places = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(0), F.size(words) - WINDOW)).otherwise(F.array().cast("array<int>"))
-        every = F.transform(places, lambda i: F.struct(i.alias("at"), window(i).alias("hash")))
-        return every if wanted is None else F.filter(every, lambda x: wanted(x["hash"]))
 
-    shaped = rows.select(*keep, plain(F.col("text")).alias("plain"))
-    return shaped.select(*keep, "plain", let(words_of(templated(F.col("plain"))), hashed).alias("hits")).filter(F.size("hits") > 0)
+def starts(raw: Column, at: Column) -> Column:
+    return (at == 0) | F.get(raw, at - 1).endswith(END)
 
 
-def exploded(rows: DataFrame, *keep: str, template: bool = True) -> DataFrame:
-    """rows of windowed() -> a row per hit: place, hash, and the window's values and, if asked for, template words."""
+class Names:
+    """only: buckets of names, both: of words that are names in some places. At most BUCKETS numbers, whatever the benchmark."""
 
-    def cut(values: Column, words: Column | None) -> Column:
-        part = lambda of, x: F.slice(of, x["at"] + 1, WINDOW)
-        return F.transform("hits", lambda x: F.struct(x["at"].alias("at"), x["hash"].alias("hash"), part(values, x).alias("values"), *([part(words, x).alias("words")] if template else [])))
+    def __init__(self, items: DataFrame):
+        """items: text. A bucket's kinds are summed over all items."""
+        seen = items.select(let(raw_words(F.col("text")), lambda raw: let(lowered(raw), lambda low: F.transform(low, lambda w, i: F.struct(bucket(w).alias("b"), is_capitalised(F.get(raw, i), w).alias("cap"), starts(raw, i).alias("first"))))).alias("w"))
+        flat = seen.select(F.explode("w").alias("w")).select("w.*").filter("cap is not null").groupBy("b").agg(F.max((F.col("cap") & ~F.col("first")).cast("int")).alias("name"), F.max((~F.col("cap")).cast("int")).alias("word"))
+        got = flat.collect()
+        self.only = sorted(r.b for r in got if r.name and not r.word)
+        self.both = sorted(r.b for r in got if r.name and r.word)
+        self.words = sorted(r.b for r in got if r.word and not r.name)
 
-    values = words_of(F.col("plain"))
-    made = let(values, lambda v: let(words_of(templated(F.col("plain"))), lambda w: cut(v, w)) if template else cut(v, None))
-    return rows.select(*keep, F.explode(made).alias("hit")).select(*keep, "hit.*")
+    def kinds(self, raw: Column, low: Column) -> Column:
+        """Placeholder or lower-case word of each word."""
+        digit = lambda w: w.between("0", ":") | w.isin(NUMBER_WORDS)
+        within = lambda w, some: bucket(w).isin(some) if some else F.lit(False)
 
+        def kind(w: Column, i: Column) -> Column:
+            name = is_capitalised(F.get(raw, i), w) & ~within(w, self.words) & ~(starts(raw, i) & within(w, self.both))
+            return F.when(digit(w), "§d").when(w.isin(UNITS) & (i > 0) & digit(F.get(low, i - 1)), "§u").when(within(w, self.only) | name, "§n").otherwise(w)
 
-def benchmark_windows(items: DataFrame) -> DataFrame:
-    """items: item_id, text -> item_id, n_windows, at, hash, own: the window's values."""
-    rows = windowed(items, "item_id").withColumn("n_windows", F.size("hits"))
-    return exploded(rows, "item_id", "n_windows", template=False).withColumnRenamed("values", "own")
+        return F.transform(low, kind)
 
 
-def bloom_row(spark: SparkSession, keys: DataFrame, words: int) -> DataFrame:
-    """One row, bits: the 64-bit words of a Bloom filter over the column ``hash``."""
-    places = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(j), F.col("hash")), F.lit(words * 64)) for j in range(HASHES)])).alias("bit")
-    by_word = keys.select(places).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits"))
-    every = spark.range(words).withColumnRenamed("id", "word").join(by_word, "word", "left")
-    return checkpointed(every.agg(F.expr("transform(array_sort(collect_list(struct(word, coalesce(bits, 0L) AS bits))), x -> x.bits)").alias("bits")))
+def merged(kinds: Column) -> Column:
+    """The places of the template's words: of a run of names or numbers the first."""
+    return F.filter(F.sequence(F.lit(0), F.size(kinds) - 1), lambda i: ~((i > 0) & F.get(kinds, i).isin("§n", "§d") & (F.get(kinds, i) == F.get(kinds, i - 1))))
 
 
-def passes(bits: Column, key: Column, words: int) -> Column:
-    places = [F.pmod(F.xxhash64(F.lit(j), key), F.lit(words * 64)) for j in range(HASHES)]
-    return reduce(Column.__and__, [F.getbit(F.get(bits, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1 for p in places])
+def hash_of(words: Column, at: Column, width: int) -> Column:
+    return F.xxhash64(*[F.get(words, at + k) for k in range(width)])
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = SHARE, max_keys: int = MAX_KEYS) -> DataFrame:
+def places(words: Column, width: int) -> Column:
+    return F.when(F.size(words) >= width, F.sequence(F.lit(0), F.size(words) - width)).otherwise(F.array().cast("array<int>"))
+
+
+def window_hashes(names: Names) -> Column:
+    """array<long> of the column ``text``: hashes of its template windows."""
+
+    def of_template(raw: Column, low: Column) -> Column:
+        words = let(names.kinds(raw, low), lambda k: F.transform(merged(k), lambda i: F.get(k, i)))
+        return let(words, lambda c: F.transform(places(c, WINDOW), lambda i: hash_of(c, i, WINDOW)))
+
+    return let(raw_words(F.col("text")), lambda raw: let(lowered(raw), lambda low: F.when(F.size(low) > 0, of_template(raw, low))))
+
+
+def windowed(rows: DataFrame, names: Names, *keep: str) -> DataFrame:
+    """rows: text -> the columns named, n_words and a row per window: at (in the template), word (in the text), hash, template and values."""
+
+    def cut(low: Column, kinds: Column) -> Column:
+        def of(where: Column) -> Column:
+            values = F.transform(where, lambda i, k: F.array_join(F.slice(low, i + 1, F.coalesce(F.get(where, k + 1), F.size(low)) - i), " "))
+            words = F.transform(where, lambda i: F.get(kinds, i))
+            part = lambda c, v, k: F.struct(k.alias("at"), F.get(where, k).alias("word"), hash_of(c, k, WINDOW).alias("hash"), F.slice(c, k + 1, WINDOW).alias("template"), F.slice(v, k + 1, WINDOW).alias("values"))
+            return let(words, lambda c: let(values, lambda v: F.transform(places(c, WINDOW), lambda k: part(c, v, k))))
+
+        return let(merged(kinds), of)
+
+    made = let(raw_words(F.col("text")), lambda raw: let(lowered(raw), lambda low: F.when(F.size(low) > 0, let(names.kinds(raw, low), lambda kinds: cut(low, kinds)))))
+    out = rows.select(*keep, F.explode(made).alias("x")).select(*keep, "x.*")
+    return out.filter(F.expr(f"size(filter(template, x -> not startswith(x, '§'))) >= {LITERALS}"))
+
+
+def short_items(items: DataFrame, long: DataFrame) -> DataFrame:
+    """item_id, item_text, n, words: items without windows, by all their words."""
+    words = items.join(long.select("item_id", "item_text"), ["item_id", "item_text"], "left_anti").select("item_id", "item_text", lowered(raw_words(F.col("text"))).alias("low"))
+    return words.filter(F.size("low") > 0).select("item_id", "item_text", F.size("low").alias("n"), F.array_join("low", " ").alias("words"))
+
+
+def sent(df: DataFrame, rows: int, most: int) -> DataFrame:
+    return F.broadcast(df) if rows <= most else df
+
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = SHARE, most: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, text_hash, item_id, share, first_word, changed (the values differ from the item's): a row per leaking pair."""
-    spark = docs.sparkSession
-    listed = checkpointed(benchmark_windows(columns(items, item_id=item_col, text=item_text)))
-    keys = listed.select("hash").distinct()
-    count = keys.count()
+    items = columns(items, item_id=item_col, text=item_text).filter("text is not null").withColumn("item_text", F.xxhash64("text")).dropDuplicates(["item_id", "item_text"])
     rows = columns(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text"))
-    wanted = None
-    if count <= max_keys:
-        words = 1 << max(0, (max(1, count) * BITS_PER_KEY - 1) // 64).bit_length()
-        rows = rows.withColumn("bits", bloom_row(spark, keys, words).scalar())
-        wanted = lambda h: passes(F.col("bits"), h, words)
-    rows = exploded(windowed(rows, "doc_id", "text_hash", *(["bits"] if wanted else []), wanted=wanted), "doc_id", "text_hash").select("doc_id", "text_hash", F.col("at").alias("place"), "hash", F.col("words").alias("template"), F.col("values").alias("found"))
-    met = rows.join(F.broadcast(listed) if count <= max_keys else listed, "hash")
-    slots = F.expr("transform(filter(arrays_zip(template, own, found), x -> contains(x.template, '§')), x -> struct(x.own, x.found))")
-    met = met.select("doc_id", "text_hash", "item_id", "n_windows", "at", (F.col("place") - F.col("at")).alias("start"), slots.alias("slots"))
-    sums = met.groupBy("doc_id", "text_hash", "item_id", "n_windows", "start").agg(F.size(F.collect_set("at")).alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    names = Names(items.select("text"))
+    listed = stored(windowed(items, names, "item_id", "item_text").select("item_id", "item_text", "at", "hash", "template", F.col("values").alias("own")), "benchmark")
+    sizes = listed.groupBy("item_id", "item_text").agg(F.count("*").alias("n_windows"))
+    keys, few = keys_of(listed, sizes, share), stored(short_items(items, sizes), "short-items")
+    met = rows.select("doc_id", "text_hash", F.explode(window_hashes(names)).alias("hash"))
+    keys = stored(keys, "keys")
+    candidates = stored(met.join(sent(keys, keys.count(), most), "hash").select("doc_id", "text_hash", "item_id", "item_text").distinct(), "candidates")
+    held = candidates.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
+    texts = rows.join(sent(held, candidates.count(), most), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    found = windowed(texts, names, "doc_id", "text_hash").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("at").alias("place"), "word", "hash", F.col("values").alias("found"))
+    both = found.join(candidates, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).join(listed, ["item_id", "item_text", "hash"]).join(sizes, ["item_id", "item_text"])
+    good = aligned(both, share)
+    key = ["doc_id", "text_hash", "item_id", "item_text"]
+    best = good.groupBy(*key).agg(F.max(F.struct("n", (-F.col("word")).alias("back"), (F.col("n") / F.col("n_windows")).alias("share"), F.expr("exists(slots, x -> x.own <> x.found)").alias("changed"))).alias("b"))
+    out = best.select("doc_id", "text_hash", "item_id", F.col("b.share").alias("share"), (-F.col("b.back")).cast("long").alias("first_word"), F.col("b.changed").alias("changed"))
+    return out if few.isEmpty() else out.union(short_leaks(rows, few))
+
+
+def keys_of(listed: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
+    """hash, item_id, item_text: of each item so many of its rarest windows that a match holds one of them."""
+    often = listed.groupBy("hash").agg(F.count("*").alias("times"))
+    order = Window.partitionBy("item_id", "item_text").orderBy("times", "hash", "at")
+    ranked = listed.join(often, "hash").withColumn("nth", F.row_number().over(order)).join(sizes, ["item_id", "item_text"])
+    return ranked.filter(F.col("nth") <= F.col("n_windows") - F.ceil(F.col("n_windows") * share - 1e-9) + 1).select("hash", "item_id", "item_text").distinct()
+
+
+def aligned(both: DataFrame, share: float) -> DataFrame:
+    """both: a row per matching window of a document and an item -> those alignments whose windows suffice and whose slots are consistent."""
+    slots = F.expr("transform(filter(arrays_zip(template, own, found), x -> startswith(x.template, '§')), x -> struct(x.own, x.found))")
+    start, reach = F.col("place") - F.col("at"), F.greatest(F.lit(2), F.floor(F.col("n_windows") * (1 - share))).cast("int")
+    near = [F.struct(F.lit(k).alias("k"), w.cast("long").alias("s")) for k, w in ((0, start), (1, F.floor(start / (2 * reach))), (2, F.floor((start + reach) / (2 * reach))))]
+    each = both.select("doc_id", "text_hash", "item_id", "item_text", "n_windows", "at", "word", slots.alias("slots"), F.explode(F.array(*near)).alias("where"))
+    sums = each.groupBy("doc_id", "text_hash", "item_id", "item_text", "n_windows", "where").agg(F.size(F.collect_set("at")).alias("n"), F.min("word").alias("word"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     own, found = F.expr("array_distinct(transform(slots, x -> x.own))"), F.expr("array_distinct(transform(slots, x -> x.found))")
-    good = sums.filter(F.col("n") >= share * F.col("n_windows")).filter((F.size(own) == F.size("slots")) & (F.size(found) == F.size("slots")))
-    best = good.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("n", (-F.col("start")).alias("back"), (F.col("n") / F.col("n_windows")).alias("share"), F.expr("exists(slots, x -> x.own <> x.found)").alias("changed"))).alias("b"))
-    return best.select("doc_id", "text_hash", "item_id", F.col("b.share").alias("share"), (-F.col("b.back")).cast("long").alias("first_word"), F.col("b.changed").alias("changed"))
+    return sums.filter(F.col("n") >= share * F.col("n_windows") - 1e-9).filter((F.size(own) == F.size("slots")) & (F.size(found) == F.size("slots")))
+
+
+def short_leaks(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """Items without windows, by all their words in a row. One hash join for each number of words."""
+    def of(n: int) -> DataFrame:
+        own = few.filter(F.col("n") == n).select("item_id", "words").distinct()
+        words = rows.select("doc_id", "text_hash", lowered(raw_words(F.col("text"))).alias("low"))
+        words = words.filter(F.size("low") >= n if n >= SHORTEST else F.size("low") == n)
+        cut = let(F.col("low"), lambda low: F.transform(places(low, n), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(low, i + 1, n), " ").alias("words"))))
+        met = words.select("doc_id", "text_hash", F.explode(cut).alias("x")).select("doc_id", "text_hash", "x.*").join(own, "words")
+        met = met.groupBy("doc_id", "text_hash", "item_id").agg(F.min("at").cast("long").alias("first_word"))
+        return met.select("doc_id", "text_hash", "item_id", F.lit(1.0).alias("share"), "first_word", F.lit(False).alias("changed"))
+
+    return reduce(DataFrame.union, [of(r.n) for r in few.select("n").distinct().orderBy("n").collect()])
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all columns, that leak no item."""
-    bad = leaks(docs, items, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__hash")), "left_anti")
+    bad = leaks(docs, items, id_col, text_col).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(bad, F.col(f"row.`{id_col}`").eqNullSafe(F.col("d")) & (F.xxhash64(F.col(f"row.`{text_col}`")) == F.col("t")), "left_anti").select("row.*")
 
 
-def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")

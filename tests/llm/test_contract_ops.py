@@ -110,18 +110,99 @@ def test_every_rule_finds_what_its_pattern_matches():
 
 # --- 2
 
+QUESTION = "Alice has 12 apples and buys 7 more at the market. Bob gives her 3 pears for two of them. How many pieces of fruit does Alice carry home now, and how many kg is that at 150 g each?"
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
-    items = ["A train with 12 cars leaves Paris for Rome at 7 km per hour and Alice counts 40 seats in each of the cars she sees today", prose(rng, 30), "too short", None, prose(rng, 12) + ".\nNext " + prose(rng, 12)]
-    texts = [None, "", prose(rng, 200), f"{prose(rng, 50)} {items[1]} {prose(rng, 40)}", items[0].replace("12", "31").replace("Alice", "Bob").replace("40", "8"), items[0].replace("Alice", "Bob").replace("Paris", "Bob"), f"x.\n{items[4]}", items[1][: len(items[1]) // 2], items[1].upper()]
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    for most in (decontaminate.MAX_KEYS, 0):
-        found = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs(spark, texts), bench, max_keys=most).collect()}
-        assert set(found) == {(3, 1), (4, 0), (6, 4), (8, 1)}
-        assert found[4, 0].changed and not found[3, 1].changed and found[3, 1].first_word == 50
-    kept = decontaminate.drop_leaks(docs(spark, texts), bench)
-    assert kept.columns == docs(spark, texts).columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 5, 7]
+    items = ["A train with 12 cars leaves Paris for Rome at 7 km per hour and Alice counts 40 seats in each of the cars she sees today", prose(rng, 30), "too short", None, prose(rng, 12) + ".\nNext " + prose(rng, 12), QUESTION, "seven pears ripen slowly"]
+    train = items[0]
+    texts = [None, "", prose(rng, 200), f"{prose(rng, 50)} {items[1]} {prose(rng, 40)}", train.replace("12", "31").replace("Alice", "Bob").replace("40", "8"), train.replace("Alice", "Bob").replace("Paris", "Bob"), f"x.\n{items[4]}", items[1][: len(items[1]) // 2], items[1].upper()]
+    texts += [train.lower(), train.upper(), train.replace("Alice", "Mary Ann"), QUESTION.replace("Alice", "Carol").replace("Bob", "Dave"), QUESTION.replace("two", "one").replace("12", "twenty five"), QUESTION.replace("at the market", "at the weekly market"), "We learn: Seven pears ripen slowly, they say.", "too short", "far too short", f"and so on {QUESTION} and more", QUESTION.replace("3 pears", "5 pears").replace("7 more", "5 more")]
+    bench = spark.createDataFrame([(k, t, "d", "t") for k, t in enumerate(items)], "item_id long, text string, doc_id string, hash string")
+    want = {(3, 1), (4, 0), (6, 4), (8, 1), (9, 0), (10, 0), (11, 0), (12, 5), (13, 5), (14, 5), (15, 6), (16, 2), (18, 5)}
+    for most in (decontaminate.BROADCAST_ROWS, 0):
+        found = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs(spark, texts), bench, most=most).collect()}
+        assert set(found) == want
+        assert {p for p in want if found[p].changed} == {(4, 0), (11, 0), (12, 5), (13, 5)} and found[3, 1].first_word == 50
+    more = docs(spark, texts).withColumns({c: F.lit(1) for c in ("__id", "d", "t", "item_id", "a.b")})
+    kept = decontaminate.drop_leaks(more, bench)
+    assert kept.columns == more.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(range(len(texts))) - {d for d, _ in want})
     assert decontaminate.leaks(docs(spark, texts), bench.limit(0)).count() == 0 and decontaminate.leaks(docs(spark, []), bench).count() == 0
+    twice = docs(spark, texts[3:5]).union(docs(spark, texts[3:5])).withColumn("doc_id", F.lit(None).cast("long"))
+    assert sorted((r.item_id, r.share) for r in decontaminate.leaks(twice, bench).collect()) == [(0, 1.0), (1, 1.0)]
+    assert decontaminate.leaks(docs(spark, [(prose(rng, 60_000) + " " + QUESTION)]), bench).count() == 1
+
+
+def plain_template(text, only, both, words):
+    """(template words, values) of a text, from the rules."""
+    text = re.sub(r"(?<=\d)[.,:/](?=\d)", "", text or "")
+    raw = [w for w in re.sub(r"[^\w¶]+|_|(?<=\d)(?=[^\W\d_])", " ", re.sub(r"[.!?:\n]", "¶", text)).split(" ") if w.strip("¶")]
+    out = []
+    low = [w.strip("¶").lower() for w in raw]
+    number = lambda w: w[0].isdigit() or w in decontaminate.NUMBER_WORDS
+    for k, (w, x) in enumerate(zip(raw, low, strict=True)):
+        own, first = w.strip("¶"), k == 0 or raw[k - 1].endswith("¶")
+        cap = len(own) > 1 and own[0] != x[0] and own[1] == x[1]
+        kind = "§d" if number(x) else "§u" if k and x in decontaminate.UNITS and number(low[k - 1]) else "§n" if x in only or cap and x not in words and not (first and x in both) else x
+        if out and kind in ("§n", "§d") and out[-1][0] == kind:
+            out[-1][1].append(x)
+        else:
+            out.append([kind, [x]])
+    return [k for k, _ in out], [" ".join(v) for _, v in out]
+
+
+def plain_leaks(texts, items):
+    seen = {}
+    for t in items:
+        raw = [w for w in re.sub(r"[^\w¶]+|_|(?<=\d)(?=[^\W\d_])", " ", re.sub(r"[.!?:\n]", "¶", re.sub(r"(?<=\d)[.,:/](?=\d)", "", t))).split(" ") if w.strip("¶")]
+        for k, w in enumerate(raw):
+            own, x = w.strip("¶"), w.strip("¶").lower()
+            cap = len(own) > 1 and own[0] != x[0] and own[1] == x[1]
+            s = seen.setdefault(x, set())
+            s |= {"word"} if not cap else {"name"} if k and not raw[k - 1].endswith("¶") else set()
+    only, both, words = ({x for x, s in seen.items() if s == want} for want in ({"name"}, {"name", "word"}, {"word"}))
+
+    def windows(t):
+        c, v = plain_template(t, only, both, words)
+        return [(k, tuple(c[k : k + 5]), v[k : k + 5]) for k in range(len(c) - 4) if sum(not w.startswith("§") for w in c[k : k + 5]) >= 2]
+
+    found = set()
+    for i, item in enumerate(items):
+        own = windows(item)
+        for d, t in enumerate(texts):
+            starts = {}
+            for place, w, v in windows(t):
+                for at, x, o in own:
+                    if w == x:
+                        start, reach = place - at, max(2, int(len(own) * (1 - 0.8)))
+                        for where in ((0, start), (1, start // (2 * reach)), (2, (start + reach) // (2 * reach))):
+                            ats, slots = starts.setdefault(where, (set(), set()))
+                            ats.add(at)
+                            slots |= {(a, b) for k, a, b in zip(w, o, v, strict=True) if k.startswith("§")}
+            if any(len(a) >= 0.8 * len(own) - 1e-9 and len({x for x, _ in s}) == len(s) == len({y for _, y in s}) for a, s in starts.values()):
+                found.add((d, i))
+    return found
+
+
+def test_decontamination_against_plain(spark):
+    rng = random.Random(13)
+    given = ["Alice", "Bob", "Mary Ann", "Carol", "May"]
+
+    def sentence():
+        return " ".join(rng.choice([rng.choice(WORDS), rng.choice(WORDS), rng.choice(WORDS), rng.choice(given), str(rng.randint(1, 99)), rng.choice(["two", "may", "5 km"])]) for _ in range(rng.randint(6, 14))).capitalize() + "."
+
+    items = [" ".join(sentence() for _ in range(rng.randint(1, 3))) for _ in range(12)]
+    texts = []
+    for _ in range(120):
+        own = rng.choice(items).split(" ")
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(own))
+            own[k] = rng.choice([rng.choice(WORDS), rng.choice(given), str(rng.randint(1, 99)), own[k], ""])
+        texts.append(rng.choice(["", sentence() + " "]) + rng.choice([str, str, str.lower, str.upper])(" ".join(own)) + rng.choice(["", " " + sentence()]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, texts), bench).collect()}
+    assert got == plain_leaks(texts, items) and 20 < len(got) < 120
 
 
 # --- 3
