@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
 Numbers, units after numbers and runs of names become typed placeholders; the rest is lower-cased words. What
-is a name is the same for all texts: a word that the benchmark has capitalised within a sentence and never in
+is a name is the same for all texts: a word that the benchmark has capitalised and never in
 lower case, in any case; else a capitalised word that the benchmark never has in lower case; a word that
 it has both ways is one where it is capitalised within a sentence. So a copy in capitals or in lower case is
 found, and any name, of several words too, may stand in a name's place. Words are known by BUCKETS hashes.
@@ -74,11 +74,11 @@ class Names:
     def __init__(self, items: DataFrame):
         """items: text. A bucket's kinds are summed over all items."""
         seen = items.select(let(raw_words(F.col("text")), lambda raw: let(lowered(raw), lambda low: F.transform(low, lambda w, i: F.struct(bucket(w).alias("b"), is_capitalised(F.get(raw, i), w).alias("cap"), starts(raw, i).alias("first"))))).alias("w"))
-        flat = seen.select(F.explode("w").alias("w")).select("w.*").filter("cap is not null").groupBy("b").agg(F.max((F.col("cap") & ~F.col("first")).cast("int")).alias("name"), F.max((~F.col("cap")).cast("int")).alias("word"))
+        flat = seen.select(F.explode("w").alias("w")).select("w.*").filter("cap is not null").groupBy("b").agg(F.max(F.col("cap").cast("int")).alias("name"), F.max((F.col("cap") & ~F.col("first")).cast("int")).alias("inner"), F.max((~F.col("cap")).cast("int")).alias("word"))
         got = flat.collect()
         self.only = sorted(r.b for r in got if r.name and not r.word)
-        self.both = sorted(r.b for r in got if r.name and r.word)
-        self.words = sorted(r.b for r in got if r.word and not r.name)
+        self.both = sorted(r.b for r in got if r.inner and r.word)
+        self.words = sorted(r.b for r in got if r.word and not r.inner)
 
     def kinds(self, raw: Column, low: Column) -> Column:
         """Placeholder or lower-case word of each word."""

@@ -160,8 +160,8 @@ def plain_leaks(texts, items):
             own, x = w.strip("¶"), w.strip("¶").lower()
             cap = len(own) > 1 and own[0] != x[0] and own[1] == x[1]
             s = seen.setdefault(x, set())
-            s |= {"word"} if not cap else {"name"} if k and not raw[k - 1].endswith("¶") else set()
-    only, both, words = ({x for x, s in seen.items() if s == want} for want in ({"name"}, {"name", "word"}, {"word"}))
+            s |= {"word"} if not cap else {"name", "inner"} if k and not raw[k - 1].endswith("¶") else {"name"}
+    only, both, words = {x for x, s in seen.items() if "word" not in s and s}, {x for x, s in seen.items() if {"inner", "word"} <= s}, {x for x, s in seen.items() if "word" in s and "inner" not in s}
 
     def windows(t):
         c, v = plain_template(t, only, both, words)
