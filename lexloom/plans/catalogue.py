@@ -48,7 +48,7 @@ def neutral_citation_counts(spark, d):
     return _cited(_built(spark, d, _OPINION)).groupBy(F.col("c.court").alias("court"), F.col("c.year").alias("year")).agg(F.count("*").alias("n_citations"))
 
 
-@query(f"SELECT o_orderkey, 25 AS start, (25 + 7 + 5 + length(n::VARCHAR) )::INT AS stop, '[' || y || '] UKSC ' || n AS normalised, 'Alpha v Beta' AS parties, p::VARCHAR AS paragraph FROM {_BASE}".replace("25 + 7 + 5", "24 + 6 + 1 + 4 + 1").replace("25 AS start", "24 AS start"))
+@query(f"SELECT o_orderkey, length('As held in Alpha v Beta ') AS start, length('As held in Alpha v Beta [' || y || '] UKSC ' || n) AS stop, '[' || y || '] UKSC ' || n AS normalised, 'Alpha v Beta' AS parties, p::VARCHAR AS paragraph FROM {_BASE}")
 def citation_offsets(spark, d):
     return _cited(_built(spark, d, _OPINION)).select("o_orderkey", F.col("c.start").alias("start"), F.col("c.end").alias("stop"), "c.normalised", "c.parties", "c.paragraph")
 
@@ -180,17 +180,12 @@ def answer_similarity(spark, d):
     return rows.select("conv_id", "turn", "s.word_precision", "s.length_ratio")
 
 
-@query()
-def rouge_l(spark, d):
-    return _turns(spark, d).select("conv_id", "turn", metrics.rouge_l(F.col("a"), F.col("b"))["f1"].alias("f1"))
-
-
 @query("SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '[\\s\\x0B]+'), lambda w: w <> ''))::INT AS word_count, len(list_filter(regexp_split_to_array(text, '[!.?]+'), lambda s: regexp_matches(s, '[^\\s\\x0B]')))::INT AS sentence_count FROM conversations")
 def answer_quality(spark, d):
     return _t(spark, d, "conversations").withColumn("q", metrics.quality(F.col("text"))).select("conv_id", "turn", "q.word_count", "q.sentence_count")
 
 
-@query(f"SELECT o_orderkey, (2 + (n % 2 = 0)::INT)::INT AS legal_term_count, CASE WHEN n % 2 = 0 THEN ['breach', 'duty of care', 'tort'] ELSE ['breach', 'duty of care'] END AS terms_used FROM {_BASE}".replace("CASE WHEN n % 2 = 0 THEN ['breach', 'duty of care', 'tort'] ELSE ['breach', 'duty of care'] END AS terms_used", "CASE WHEN n % 2 = 0 THEN 'breach,duty of care,tort' ELSE 'breach,duty of care' END AS terms_used"))
+@query(f"SELECT o_orderkey, (2 + (n % 2 = 0)::INT)::INT AS legal_term_count, CASE WHEN n % 2 = 0 THEN 'breach,duty of care,tort' ELSE 'breach,duty of care' END AS terms_used FROM {_BASE}")
 def terminology(spark, d):
     rows = _built(spark, d, "concat('A breach of the Duty of Care', IF(n % 2 = 0, ' is a tort', ''), ' ', CAST(p AS STRING))").withColumn("t", metrics.terminology(F.col("text")))
     return rows.select("o_orderkey", "t.legal_term_count", F.array_join("t.terms_used", ",").alias("terms_used"))
@@ -277,7 +272,7 @@ def court_levels(spark, d):
     return rows.select("court", jurisdiction("uk").court_level(F.col("court")).alias("level"))
 
 
-@query("SELECT * FROM (VALUES ('9th Cir.', 1), ('S.D.N.Y.', 6), ('S.D. Cal.', 3), ('Bankr. D. Del.', 4), ('SCOTUS', 0)) t(court, level)".replace("('S.D.N.Y.', 6)", "('S.D.N.Y.', 3)"))
+@query("SELECT * FROM (VALUES ('9th Cir.', 1), ('S.D.N.Y.', 3), ('S.D. Cal.', 3), ('Bankr. D. Del.', 4), ('SCOTUS', 0)) t(court, level)")
 def us_court_levels(spark, d):
     rows = spark.createDataFrame([("9th Cir.",), ("S.D.N.Y.",), ("S.D. Cal.",), ("Bankr. D. Del.",), ("SCOTUS",)], "court string")
     return rows.select("court", jurisdiction("us").court_level(F.col("court")).alias("level"))
@@ -289,7 +284,7 @@ def memory_estimates(spark, d):
     return rows.select("model", F.coalesce(training.parameters(F.col("model")), F.lit(0)).cast("long").alias("parameters"), F.coalesce(training.memory(F.col("model"))["total_gb"], F.lit(0.0)).alias("total_gb"))
 
 
-@query(f"SELECT o_orderkey, 24 AS n FROM {_BASE}".replace("24 AS n", "2 AS n"))
+@query(f"SELECT o_orderkey, 2 AS n FROM {_BASE}")
 def titled_persons(spark, d):
     rows = _built(spark, d, "concat('Mr John Smith\\nClaimant ', CAST(n AS STRING), ' and MRS JANE DOE met Mr Justice Fraser.')")
     return rows.select("o_orderkey", F.size(F.filter(pii.anonymised(F.col("text"))["entities"], lambda e: e["entity_type"] == "person")).alias("n"))

@@ -1,5 +1,6 @@
 import __spark_entry__
 import pytest
+from lexloom.plans import forms
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,7 +13,7 @@ def test_every_sql_has_a_query():
     assert not set(__spark_entry__.oracle_sql()) - set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["neutral_citation_counts", "exact_dedup", "group_split", "token_f1", "entities_numbered"])
+@pytest.mark.parametrize("name", ["neutral_citation_counts", "citation_offsets", "terminology", "titled_persons", "exact_dedup", "group_split", "token_f1", "entities_numbered", *forms.QUERIES])
 def test_against_sql(spark, name):
     import os
 
