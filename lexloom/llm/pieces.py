@@ -2,20 +2,25 @@
 
 The segments of a batch that weren't met before are joined into one text and indexed by a suffix array;
 each piece of the vocabulary is binary-searched for the range of suffixes that it begins. The edges so
-found (place, length, rank), sorted by place, are then relaxed: as the vocabulary is a byte-pair one,
+found (place, length, piece), sorted by place, are then relaxed: as the vocabulary is a byte-pair one,
 a segment's neighbouring symbols merge along the edge of best rank, leftmost first, until none is left; all
 segments take a step together, long ones by a heap. Characters without a piece fall back to bytes.
 
 A segment is a run of word marks with the characters up to the next mark. No piece reaches from one
-segment into the next, so the joined encodings are the text's.
+segment into the next, so the joined encodings are the text's. A segment of more than WINDOW characters is
+encoded by windows, whose tokens are joined where each pair of neighbours is the encoding of its own text, which makes the
+row of tokens the encoding of the whole; around a place where it isn't, more tokens are encoded anew.
+A text is worked on in blocks of BLOCK characters, so that memory doesn't grow with it but for its own ids.
 
 Defined cases: a null or empty text has no ids and is exact; the mark U+2581 in a text is decoded as a
-space; texts of any length are encoded whole; repeated rows are encoded each.
+space; texts of any length are encoded whole; repeated rows are encoded each; an empty table gives an empty
+result; of edges of equal rank the leftmost is taken; columns beside the id and text play no part.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -29,8 +34,8 @@ from .common import columns, sliced, table
 from .quality import MODEL, TOKENIZERS
 
 MARK = "▁"
-#: Segments remembered by a task, and characters from which a segment's merges go by a heap.
-REMEMBERED, LONG = 300_000, 192
+#: Segments remembered by a task, characters from which a segment's merges go by a heap, of a window, and of a block.
+REMEMBERED, LONG, WINDOW, BLOCK = 300_000, 192, 4096, 1_000_000
 NONE = np.int64(1 << 40)
 
 
@@ -50,6 +55,11 @@ class Vocabulary:
         self.ranks = np.array([place[model.get_score(k)] for k in plain], np.int64)
         self.lengths = np.array([len(t) for t in self.texts], np.int64)
         self.longest = int(self.lengths.max())
+        if self.longest > 62:
+            raise ValueError("pieces of over 62 characters")
+        self.codes = np.frombuffer("".join(self.texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.first = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+        self.by_text = {t: int(k) for t, k in zip(self.texts, self.ids, strict=True)}
         self.of_byte = np.zeros(256, np.int32)
         self.raw = [b""] * model.vocab_size()
         for k in every:
@@ -69,51 +79,68 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def matches(text: str, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(place, piece) of every occurrence of every piece in the text, sorted by place."""
+    """(place, piece) of every occurrence of every piece in the text, sorted by place, then by length."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     letters, own = np.unique(codes, return_inverse=True)
-    wide = len(letters) > 253
     # a letter is one byte from 1, or two: the order of suffixes is that of these bytes, and none is zero
-    coded = np.stack([own // 253 + 1, own % 253 + 1], axis=1).astype(np.uint8) if wide else (own + 1).astype(np.uint8)[:, None]
-    unit, width = coded.shape[1], coded.shape[1] * vocab.longest
-    padded = np.concatenate([coded.ravel(), np.zeros(width, np.uint8)])
+    unit = 2 if len(letters) > 253 else 1
+    in_bytes = lambda at: np.stack([at // 253 + 1, at % 253 + 1], axis=1).astype(np.uint8) if unit == 2 else (at + 1).astype(np.uint8)[:, None]
+    width = unit * vocab.longest
+    padded = np.concatenate([in_bytes(own).ravel(), np.zeros(width, np.uint8)])
     windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, width)[: len(codes) * unit : unit])
     words = -(-width // 8)
     keys = np.zeros((len(codes), words * 8), np.uint8)
     keys[:, :width] = windows
     order = np.lexsort(keys.view(">u8").astype(np.uint64).T[::-1])
+    del keys
     suffixes = windows.view(f"S{width}").ravel()[order]
-    table_ = {chr(c): (bytes((k // 253 + 1, k % 253 + 1)) if wide else bytes((k + 1,))) for k, c in enumerate(letters.tolist())}
-    low, which = [], []
-    for k, t in enumerate(vocab.texts):
-        try:
-            low.append(b"".join([table_[c] for c in t]))
-        except KeyError:
-            continue
-        which.append(k)
-    if not which:
+    at = np.minimum(np.searchsorted(letters, vocab.codes), len(letters) - 1)
+    which = np.flatnonzero(np.minimum.reduceat(letters[at] == vocab.codes, vocab.first))
+    if not len(which):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    begins = np.searchsorted(suffixes, np.array(low, f"S{width}"), "left")
-    ends = np.searchsorted(suffixes, np.array([b.ljust(width, b"\xff") for b in low], f"S{width}"), "right")
+    lengths = vocab.lengths[which]
+    ends = np.cumsum(lengths)
+    column = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+    low = np.zeros((len(which), vocab.longest, unit), np.uint8)
+    low[np.repeat(np.arange(len(which)), lengths), column] = in_bytes(at[np.repeat(vocab.first[which], lengths) + column])
+    low = low.reshape(len(which), width)
+    high = np.where(np.arange(width) < (lengths * unit)[:, None], low, np.uint8(255))
+    as_text = lambda x: np.ascontiguousarray(x).view(f"S{width}").ravel()
+    begins, ends = np.searchsorted(suffixes, as_text(low), "left"), np.searchsorted(suffixes, as_text(high), "right")
     n = ends - begins
     at = np.repeat(begins - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    places, found = order[at], np.repeat(np.array(which, np.int64), n)
-    by_place = np.argsort(places, kind="stable")
-    return places[by_place], found[by_place]
+    bits = len(vocab.texts).bit_length()
+    packed = np.sort(order[at] << (6 + bits) | np.repeat(lengths << bits | which, n))
+    return packed >> (6 + bits), packed & ((1 << bits) - 1)
 
 
-def encode_segments(segments: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all segments joined, how many each has)"""
+class Edges:
+    """The edges of a text by place: which lengths there are (a bit each), where they begin, their pieces and ranks."""
+
+    def __init__(self, text: str, vocab: Vocabulary):
+        places, self.piece = matches(text, vocab)
+        self.rank, self.length = vocab.ranks[self.piece], vocab.lengths[self.piece]
+        self.first = np.searchsorted(places, np.arange(len(text) + 1))
+        self.lengths = np.zeros(len(text), np.uint64)
+        if len(places):
+            new = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
+            self.lengths[places[new]] = np.add.reduceat(np.uint64(1) << self.length.astype(np.uint64), new)
+
+    def __call__(self, place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether there is one, its number)"""
+        bit, here = np.minimum(length, 63).astype(np.uint64), self.lengths[place]
+        below = np.bitwise_count(here & ((np.uint64(1) << bit) - np.uint64(1)))
+        return (here >> bit & np.uint64(1)).astype(bool), self.first[place] + below
+
+
+def tokens_of(segments: list[str], vocab: Vocabulary) -> tuple[str, Edges, np.ndarray, np.ndarray, np.ndarray]:
+    """(the segments joined, its edges, segment, place and length of every token in order)"""
     text = "\0".join(segments) + "\0"
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
     starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])).astype(np.int64)
-    places, found = matches(text, vocab)
+    edges = Edges(text, vocab)
     inside = np.ones(len(text), bool)
     inside[starts + sizes] = False
-    edge_rank = np.full((len(text), vocab.longest + 2), NONE, np.int64)
-    edge_piece = np.full((len(text), vocab.longest + 1), -1, np.int32)
-    edge_piece[places, vocab.lengths[found]] = found
-    edge_rank[places, vocab.lengths[found]] = vocab.ranks[found]
     place = np.flatnonzero(inside)
     segment = np.repeat(np.arange(len(segments)), sizes)
     length = np.ones(len(place), np.int64)
@@ -121,7 +148,7 @@ def encode_segments(segments: list[str], vocab: Vocabulary) -> tuple[np.ndarray,
     long = sizes[segment] > LONG
     if long.any():
         for k in np.flatnonzero(sizes > LONG).tolist():
-            a, n = _merged_by_heap(int(starts[k]), int(sizes[k]), edge_rank, vocab.longest)
+            a, n = _merged_by_heap(int(starts[k]), int(sizes[k]), edges)
             done.append((np.full(len(a), k, np.int64), a, n))
         place, segment, length = place[~long], segment[~long], length[~long]
 
@@ -131,8 +158,10 @@ def encode_segments(segments: list[str], vocab: Vocabulary) -> tuple[np.ndarray,
         ok = at + 1 < len(place)
         ok[ok] = segment[at[ok]] == segment[at[ok] + 1]
         k = at[ok]
-        both = length[k] + length[k + 1]
-        out[ok] = edge_rank[place[k], np.minimum(both, vocab.longest + 1)]
+        there, edge = edges(place[k], length[k] + length[k + 1])
+        found = np.full(len(k), NONE, np.int64)
+        found[there] = edges.rank[edge[there]]
+        out[ok] = found
         return out
 
     rank = rank_of(np.arange(len(place)))
@@ -161,13 +190,16 @@ def encode_segments(segments: list[str], vocab: Vocabulary) -> tuple[np.ndarray,
         before = merged[merged > 0] - 1
         rank[before] = rank_of(before)
     segment, place, length = (np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in range(3))
-    order = np.lexsort((place, segment))
-    return _ids(text, segment[order], place[order], length[order], edge_piece, len(segments), vocab)
+    order = np.argsort(place)
+    return text, edges, segment[order], place[order], length[order]
 
 
-def _ids(text: str, segment: np.ndarray, place: np.ndarray, length: np.ndarray, edge_piece: np.ndarray, n: int, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    piece = edge_piece[place, length]
-    ids = np.where(piece >= 0, vocab.ids[piece], -1)
+def encode_segments(segments: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all segments joined, how many each has)"""
+    text, edges, segment, place, length = tokens_of(segments, vocab)
+    there, edge = edges(place, length)
+    ids = np.full(len(place), -1, np.int64)
+    ids[there] = vocab.ids[edges.piece[edge[there]]]
     times = np.ones(len(ids), np.int64)
     lost = np.flatnonzero(ids < 0)
     if len(lost):
@@ -175,19 +207,70 @@ def _ids(text: str, segment: np.ndarray, place: np.ndarray, length: np.ndarray,
         times[lost] = [len(b) for b in raw]
         ids = np.repeat(ids, times)
         ids[ids < 0] = vocab.of_byte[np.frombuffer(b"".join(raw), np.uint8)]
-    return ids.astype(np.int32), np.bincount(segment, times, n).astype(np.int64)
+    return ids.astype(np.int32), np.bincount(segment, times, len(segments)).astype(np.int64)
+
+
+def token_lengths(segments: list[str], vocab: Vocabulary) -> list[list[int]]:
+    """The characters of each token, by segment; a few segments at a time."""
+    out: list[list[int]] = []
+    at = 0
+    while at < len(segments):
+        end, size = at, 0
+        while end < len(segments) and (size == 0 or size + len(segments[end]) <= BLOCK):
+            size += len(segments[end])
+            end += 1
+        _, _, segment, _, length = tokens_of(segments[at:end], vocab)
+        out += [x.tolist() for x in np.split(length, np.cumsum(np.bincount(segment, minlength=end - at))[:-1])]
+        at = end
+    return out
+
+
+def encode_long(segment: str, vocab: Vocabulary, window: int = WINDOW) -> np.ndarray:
+    """The ids of one segment by windows."""
+    n = max(1, len(segment) // window)
+    cuts = [len(segment) * k // n for k in range(n + 1)]
+    parts = token_lengths([segment[a:b] for a, b in itertools.pairwise(cuts)], vocab)
+    for wide in [w for w in (1, 4, 16, 48) if 2 * w + 2 < window // vocab.longest]:  # tokens on each side that are encoded anew; a window has more
+        ends = np.cumsum([sum(p) for p in parts]).tolist()
+        seams = []
+        for k in range(len(parts) - 1):
+            a, b, at = parts[k][-wide:], parts[k + 1][:wide], ends[k]
+            seams.append((k, at - sum(a), at + sum(b), parts[k][-wide - 1], parts[k + 1][wide]))
+        new = token_lengths([segment[a:b] for _, a, b, _, _ in seams], vocab)
+        # the old tokens before and behind must be left alone by the new ones
+        borders = [x for (_, a, b, left, right), t in zip(seams, new, strict=True) for x in (segment[a - left : a + t[0]], segment[b - t[-1] : b + right])]
+        kept = token_lengths(borders, vocab)
+        open_ = False
+        for (k, _, _, left, right), t, before, after in zip(seams, new, kept[::2], kept[1::2], strict=True):
+            if before == [left, t[0]] and after == [t[-1], right]:
+                parts[k], parts[k + 1] = parts[k][:-wide] + t, parts[k + 1][wide:]
+            else:
+                open_ = True
+        if not open_:
+            break
+    else:
+        parts = token_lengths([segment], vocab)
+    out, at = [], 0
+    for n in (x for p in parts for x in p):
+        k = vocab.by_text.get(segment[at : at + n])
+        out += [k] if k is not None else vocab.of_byte[list(segment[at : at + n].encode("utf-8", "replace"))].tolist()
+        at += n
+    return np.array(out, np.int32)
 
 
-def _merged_by_heap(start: int, size: int, edge_rank: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+def _merged_by_heap(start: int, size: int, edges: Edges) -> tuple[np.ndarray, np.ndarray]:
     """(places, lengths) of the symbols that are left of one segment."""
     length, before = [1] * size, list(range(-1, size - 1))
+    a, b = int(edges.first[start]), int(edges.first[start + size])
+    place = np.repeat(np.arange(size), np.diff(edges.first[start : start + size + 1]))
+    rank = dict(zip((place << 6 | edges.length[a:b]).tolist(), edges.rank[a:b].tolist(), strict=True))
     heap = []
 
     def offer(k: int) -> None:
         nxt = k + length[k]
         if nxt < size:
             both = length[k] + length[nxt]
-            if both <= longest and (r := int(edge_rank[start + k, both])) < NONE:
+            if both < 63 and (r := rank.get(k << 6 | both)) is not None:
                 heapq.heappush(heap, (r, k, both))
 
     for k in range(size - 1):
@@ -207,6 +290,19 @@ def _merged_by_heap(start: int, size: int, edge_rank: np.ndarray, longest: int)
     return np.array(left, np.int64) + start, np.array([length[k] for k in left], np.int64)
 
 
+class Known(dict):
+    """segment -> its number; ``fresh`` has those that weren't met before, in order."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, segment: str) -> int:
+        self[segment] = at = len(self)
+        self.fresh.append(segment)
+        return at
+
+
 class Encoder:
     """Remembers the segments it has met, up to a bound."""
 
@@ -215,34 +311,56 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Known()
         self.flat, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def blocks(self, text: str) -> Iterator[list[str]]:
+        """The text's segments, about BLOCK characters at a time."""
+        marked = MARK + text.replace(" ", MARK)
+        if len(marked) <= BLOCK:
+            yield self.vocab.segments.findall(marked)
+            return
+        own, size = [], 0
+        for m in self.vocab.segments.finditer(marked):
+            own.append(m[0])
+            size += len(m[0])
+            if size > BLOCK:
+                yield own
+                own, size = [], 0
+        yield own
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts joined, how many each has)"""
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        known, fresh, cut = self.known, [], []
-        for text in texts:
-            own = self.vocab.segments.findall(MARK + text.replace(" ", MARK)) if text else []
-            at = []
-            for s in own:
-                k = known.get(s)
-                if k is None:
-                    known[s] = k = len(known)
-                    fresh.append(s)
-                at.append(k)
-            cut.append(np.array(at, np.int64))
-        if fresh:
-            ids, n = encode_segments(fresh, self.vocab)
-            self.flat = np.concatenate([self.flat, ids])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n)])
-        which = np.concatenate(cut) if cut else np.zeros(0, np.int64)
-        n = self.first[which + 1] - self.first[which]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        ids = self.flat[np.repeat(self.first[which] - ends[:-1], n) + np.arange(ends[-1])]
-        borders = np.cumsum([0, *map(len, cut)])
-        return ids, np.diff(ends[borders])
+        out, sizes, waiting, size = [], np.zeros(len(texts), np.int64), [], 0
+
+        def flush() -> None:
+            fresh, self.known.fresh = self.known.fresh, []
+            long = {k: encode_long(s, self.vocab) for k, s in enumerate(fresh) if len(s) > WINDOW}
+            ids, n = encode_segments([s if k not in long else "" for k, s in enumerate(fresh)], self.vocab) if fresh else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            if long:
+                ends = np.cumsum(n)
+                ids = np.concatenate([x for k, part in enumerate(np.split(ids, ends[:-1])) for x in (part, long.get(k, part[:0]))])
+                n[list(long)] += [len(x) for x in long.values()]
+            self.flat, self.first = np.concatenate([self.flat, ids]), np.concatenate([self.first, self.first[-1] + np.cumsum(n)])
+            which = np.concatenate([w for _, w in waiting]) if waiting else np.zeros(0, np.int64)
+            n = self.first[which + 1] - self.first[which]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            out.append(self.flat[np.repeat(self.first[which] - ends[:-1], n) + np.arange(ends[-1])])
+            borders = np.cumsum([0, *(len(w) for _, w in waiting)])
+            np.add.at(sizes, [k for k, _ in waiting], np.diff(ends[borders]))
+            waiting.clear()
+            if len(self.known) > REMEMBERED or len(self.flat) > 16 * REMEMBERED:
+                self._forget()
+
+        for k, text in enumerate(texts):
+            for own in self.blocks(text) if text else ():
+                waiting.append((k, np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))))
+                size += sum(map(len, own)) if len(own) < 100 else len(text) if len(text) <= BLOCK else BLOCK
+                if size > 2 * BLOCK:
+                    flush()
+                    size = 0
+        flush()
+        return np.concatenate(out), sizes
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.vocab.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")

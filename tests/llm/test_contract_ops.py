@@ -566,6 +566,32 @@ def test_pieces(spark):
     assert pieces.encode_texts(docs(spark, [])).count() == 0
 
 
+def test_long_segments_by_windows(monkeypatch):
+    import sentencepiece
+
+    path = f"{quality.TOKENIZERS}/{quality.MODEL}"
+    model, vocab, rng = sentencepiece.SentencePieceProcessor(model_file=path), pieces.vocabulary(path), random.Random(14)
+    texts = ["a" * 9_001, "ab" * 5_000 + "c", "".join(rng.choices("etaoinshrdlu", k=20_000)), "".join(rng.choices("日本語漢字é😀ab", k=9_000)), "the" * 4_000, "-" * 10_000 + "=" * 5_000, "".join(rng.choices("ab", k=12_000)), "".join(rng.choices("0123456789", k=12_000))]
+    for text in texts:
+        for window in (300, 4096):
+            assert pieces.encode_long(pieces.MARK + text, vocab, window).tolist() == model.encode(text)
+    monkeypatch.setattr(pieces, "BLOCK", 5_000)
+    monkeypatch.setattr(pieces, "REMEMBERED", 100)
+    mixed = [" ".join(texts), prose(rng, 5_000), None, texts[2], texts[2], " ".join(texts)]
+    ids, n = pieces.Encoder(path).encode(mixed)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [model.encode(t or "") for t in mixed]
+
+
+def test_long_text_needs_little_memory():
+    import resource
+    import subprocess
+    import sys
+
+    code = "import resource, random, sys; sys.path.insert(0, sys.argv[1]); from lexloom.llm import pieces; e = pieces.Encoder(sys.argv[2]); e.encode(['x']); a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; e.encode([''.join(random.Random(1).choices('etaoinshrdlu', k=1_000_000))]); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a)"
+    used = int(subprocess.run([sys.executable, "-c", code, str(pieces.__file__).rsplit("/lexloom/", 1)[0], f"{quality.TOKENIZERS}/{quality.MODEL}"], capture_output=True, text=True, check=True).stdout)
+    assert used < 400_000 and resource
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_suffix_ranges(wide):
     vocab = pieces.vocabulary(f"{quality.TOKENIZERS}/{quality.MODEL}")
