@@ -1,11 +1,15 @@
 """URL filter: allow and block rules, then a cascade of Bloom filters over the corpus's sites.
 
-A cascade's first level encodes the listed keys, the next one the other keys that the first
-takes for listed, the next one the listed keys that this one takes for others, and so on until no
-key is mistaken. Over the universe it was built from, a lookup is exact and needs no join.
+A table of listed keys (sites, that is the last three labels of a host) is given, from a blocklist say; the
+query lists the corpus's sites by words in their names. A cascade's first level encodes the corpus's listed keys,
+the next one the other keys that the first takes for listed, the next one the listed keys that this one takes for
+others, and so on until no key is mistaken. Over the universe it was built from, a lookup is exact and needs no join:
+the listed table is joined with the distinct keys only.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and fits no rule; an
-empty key is never listed; repeated rows are judged alike; an empty table gives an empty result.
+empty key is never listed; null, empty and repeated listed keys count once or not at all; keys that no page has play no part;
+repeated rows are judged alike; an empty table gives an empty result; other columns of both tables play no part, whatever
+their names; a url of any length is judged whole; of rules as long as each other the longer host, then the block, holds.
 """
 
 from __future__ import annotations
@@ -27,6 +31,12 @@ LISTED_WORDS = (
 BITS_PER_KEY, HASHES, MAX_LEVELS = 8, 4, 40
 #: Above so many bytes in the filters of all levels a cascade isn't sent out; build() refuses and listed_by_join() serves.
 MAX_BYTES = 256 << 20
+#: Words of a filter that are gathered in one array first.
+SHARD = 1024
+
+
+class TooLarge(Exception):
+    """The filters would need more bytes than may be sent out."""
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -78,11 +88,12 @@ class BloomCascade:
             words = 1 << max(0, (count * BITS_PER_KEY - 1) // 64).bit_length()
             used += words * 8
             if used > max_bytes:
-                raise ValueError(f"the filters need over {max_bytes} bytes; use listed_by_join()")
+                raise TooLarge(f"the filters need over {max_bytes} bytes; use listed_by_join()")
             bit = F.explode(F.array(*cls._places(F.col("key"), len(levels), words))).alias("bit")
             by_word = encode.select(bit).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits"))
-            every = spark.range(words).withColumnRenamed("id", "word").join(by_word, "word", "left")
-            row = every.agg(F.expr("transform(array_sort(collect_list(struct(word, coalesce(bits, 0L) AS bits))), x -> x.bits)").alias("bits"))
+            every = spark.range(words).withColumnRenamed("id", "word").join(by_word, "word", "left").withColumn("shard", F.expr(f"word DIV {SHARD}"))
+            shards = every.groupBy("shard").agg(F.expr("transform(array_sort(collect_list(struct(word, coalesce(bits, 0L) AS bits))), x -> x.bits)").alias("own"))
+            row = shards.agg(F.expr("flatten(transform(array_sort(collect_list(struct(shard, own))), x -> x.own))").alias("bits"))
             levels.append((checkpointed(row), words))
             encode, check = check.filter(cls._passes(levels, len(levels) - 1, F.col("key"))), encode
         return cls(levels)
@@ -109,9 +120,20 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     return rows.select("page_id", "host", "path", site_of(F.col("host")).alias("site"), rule.alias("rule"), verdict.alias("ruled"))
 
 
-def universe_of(rows: DataFrame, words: tuple[str, ...] = LISTED_WORDS) -> DataFrame:
-    """Every site of the corpus once; partial sums before the shuffle take a hot site down to a row a task."""
-    return rows.filter("site <> ''").groupBy(F.col("site").alias("key")).agg(F.lit(1).alias("one")).select("key", is_listed(F.col("key"), words).alias("listed"))
+def keys_of(rows: DataFrame) -> DataFrame:
+    """key: every site of the corpus once; partial sums before the shuffle take a hot site down to a row a task."""
+    return rows.filter("site <> ''").select(F.col("site").alias("key")).distinct()
+
+
+def universe_of(keys: DataFrame, listed: DataFrame) -> DataFrame:
+    """keys with ``listed``: whether the table of listed keys has them."""
+    known = listed.select(F.col("key").alias("k")).filter("k <> ''").distinct().withColumn("listed", F.lit(True))
+    return keys.join(known, F.col("key") == F.col("k"), "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
+def sites_with_words(keys: DataFrame, words: tuple[str, ...] = LISTED_WORDS) -> DataFrame:
+    """Those of the keys that have one of the words in their names."""
+    return keys.filter(is_listed(F.col("key"), words))
 
 
 def listed_by_join(rows: DataFrame, listed: DataFrame) -> DataFrame:
@@ -120,14 +142,16 @@ def listed_by_join(rows: DataFrame, listed: DataFrame) -> DataFrame:
     return rows.join(found, "site", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, words: tuple[str, ...] = LISTED_WORDS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """page_id, host, path, rule, verdict, site, listed. The rule decides, else the cascade: listed sites are blocked."""
+def filter_urls(pages: DataFrame, listed: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", key_col: str = "key", rules=RULES, words: tuple[str, ...] = LISTED_WORDS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """page_id, host, path, rule, verdict, site, listed. The rule decides, else the cascade: sites in the table ``listed`` are blocked, without one those with listed words."""
     rows = judged(pages, id_col, url_col, rules)
-    universe = universe_of(rows, words)
+    keys = checkpointed(keys_of(rows))
+    known = sites_with_words(keys, words) if listed is None else columns(listed, key=key_col)
+    universe = universe_of(keys, known)
     try:
         cascade = BloomCascade.build(universe, max_bytes)
         rows = rows.withColumn("listed", cascade.contains(F.col("site")) & (F.col("site") != ""))
-    except ValueError:
+    except TooLarge:
         rows = listed_by_join(rows, universe)
     return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "site", "listed")
 

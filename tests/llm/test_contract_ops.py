@@ -215,6 +215,20 @@ def test_url_filter(spark):
     assert got == want * 2
     assert [r.verdict for r in url_filter.filter_urls(pages, max_bytes=1).orderBy("page_id").collect()] == [w[3] for w in want * 2]
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
+    given = spark.createDataFrame([("xcasino.io", 1), ("xcasino.io", 2), (None, 3), ("", 4), ("b:", 5), ("elsewhere.org", 6)], "key string, listed int").withColumn("site", F.lit("s"))
+    for most in (url_filter.MAX_BYTES, 1):
+        rows = url_filter.filter_urls(pages.withColumns({"site": F.lit(1), "listed": F.lit(2), "verdict": F.lit(3)}), given, max_bytes=most)
+        assert {r.site for r in rows.filter("listed").collect()} == {"xcasino.io", "b:"}
+        assert [r.verdict for r in rows.filter("rule is null").orderBy("page_id", "host").select("verdict").collect()].count("block") == 4
+    long = spark.createDataFrame([(1, "http://a.org/" + "p/" * 50_000 + "?q")], "page_id long, url string")
+    assert len(url_filter.filter_urls(long).first().path) == 100_001
+
+
+def test_open_levels_are_no_size_problem(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_LEVELS", 0)
+    pages = spark.createDataFrame([(1, "http://casino.io/")], "page_id long, url string")
+    with pytest.raises(ValueError, match="levels"):
+        url_filter.filter_urls(pages)
 
 
 def test_cascade_is_exact(spark):
