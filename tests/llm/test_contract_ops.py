@@ -260,11 +260,36 @@ def test_quality(spark):
     assert quality.measure_quality(docs(spark, ["a"]).drop("lang", "source")).first().band == "latin"
 
 
-def test_quality_on_labels(spark):
-    sf = "/root/testdata/sf0.01"
-    rows = quality.measure_quality(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("not base_failed")
-    by = {r.quality: r.k for r in rows.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
-    assert by[1] > 0.98 and by[0] < 0.1
+def brute_measures(text):
+    """(chars per token, tokens per word, byte share, entropy, top share, chars per byte-level token), each word encoded by itself."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=f"{quality.TOKENIZERS}/{quality.MODEL}")
+    other = quality._byte_level(f"{quality.TOKENIZERS}/{quality.BYTE_MODEL}")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    ids = [t for w in words for t in model.encode(w)]
+    n, chars = max(len(ids), 1), sum(map(len, words))
+    shares = [ids.count(t) / n for t in set(ids)]
+    return chars / n, len(ids) / max(len(words), 1), sum(model.is_byte(t) for t in ids) / n, -sum(x * np.log2(x) for x in shares), max(shares, default=0), chars / max(sum(len(other.encode_ordinary(f" {w}")) for w in words), 1)
+
+
+def test_quality_measures(spark):
+    rng = random.Random(41)
+    texts = EDGE + [prose(rng, 80), "Ünïcode 日本語 😀 words " * 20, "\ue000 \ue001" * 30, "don't it's 12,5 a-b_c " * 10]
+    for r, t in zip(quality.measure_quality(docs(spark, texts)).collect(), texts, strict=True):
+        assert (r.chars_per_token, r.tokens_per_word, r.byte_share, r.entropy, r.top_share, r.chars_per_byte_level_token) == pytest.approx(brute_measures(t))
+    more = docs(spark, texts).withColumns({"a.b": F.lit(1), "n_words": F.lit("x"), "kept": F.lit(2)})
+    assert quality.keep_good(more).columns == more.columns
+
+
+def test_quality_bands_are_fitted(spark):
+    """The bands are those of the training part of sf0.1; figures on the rest."""
+    own, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    known = own.join(labels.select("doc_id"), "doc_id", "left_semi")
+    assert quality.fit_bands(known, labels) == {k: v for k, v in quality.BANDS.items() if len(k) == 2}
+    rest = quality.measure_quality(known.filter(crc_mod(F.col("doc_id"), 4) == 2)).join(labels, "doc_id").filter("not base_failed")
+    by = {r.quality: r.k for r in rest.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert by[1] > 0.99 and by[0] < 0.05
 
 
 # --- 5 and 6
