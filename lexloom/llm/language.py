@@ -8,7 +8,9 @@ closed forms over trigram counts of all training rows.
 
 Defined cases: a null text or one without letters is ``und`` with score 0, as is every text where no
 training row exists; with a single language all others texts get that one; a null doc_id counts as an
-empty text in the split; ties between languages go to the first in sorted order.
+empty text in the split; ties between languages go to the first in sorted order; repeated rows count and are judged
+each; an empty table gives an empty result; columns beside id, text and language play no part; a text of any length is
+judged whole. Of more than LANGUAGES values of the language column those with most trigrams are learned.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, crc_mod, sliced, table
+from .common import checkpointed, columns, crc_mod, sliced, table
 
 BUCKETS_LOG2 = 15
 BUCKETS = 1 << BUCKETS_LOG2
+#: Languages learned at most, and languages whose counts a task holds before it gives them out.
+LANGUAGES, HELD = 1000, 64
 SMOOTHING, SHARPNESS, AMBIGUOUS_GAP = 1e-5, 12.0, 0.25
 #: ASCII other than letters becomes a space.
 LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
@@ -92,20 +96,29 @@ class Codebook:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[str, np.ndarray] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, counts in found.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "bucket", "n"])
+        found.clear()
+
     for batch in sliced(batches, "text"):
         waiting = defaultdict(list)
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
             waiting[lang].append(hashed(text))
         for lang, own in waiting.items():
+            if lang not in found and len(found) >= HELD:
+                yield from flush()
             found.setdefault(lang, np.zeros(BUCKETS, np.int64))[:] += np.bincount(np.concatenate(own), minlength=BUCKETS)
-    for lang, counts in found.items():
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "bucket", "n"])
+    yield from flush()
 
 
-def learn(rows: DataFrame) -> Codebook:
-    """rows: text, lang. At most languages x BUCKETS sums reach the driver, whatever the input."""
-    counts = rows.filter("text is not null and lang is not null").select("text", "lang").mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+def learn(rows: DataFrame, languages: int = LANGUAGES) -> Codebook:
+    """rows: text, lang. At most ``languages`` x BUCKETS sums reach the driver, whatever the input."""
+    sums = checkpointed(rows.filter("text is not null and lang is not null").select("text", "lang").mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    kept = sums.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(languages)
+    counts = sums.join(F.broadcast(kept.select("lang")), "lang").toArrow()
     names = counts.column("lang").to_pylist()
     langs = sorted(set(names))
     dense = np.zeros((len(langs), BUCKETS))
