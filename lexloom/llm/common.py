@@ -60,6 +60,28 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys more frequent than the number of rows over HOT_KEYS are at most so many; with fewer than HOT_ROWS rows a key isn't hot.
+HOT_KEYS, HOT_ROWS = 50_000, 100
+
+
+def with_values(rows: DataFrame, values: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows left-joined with values, which have each key once; hot keys' values are broadcast, so that no key gathers its rows in one task.
+
+    The names of neither may begin with ``hot_``.
+    """
+    often = max(hot_rows, rows.count() // HOT_KEYS)
+    hot = rows.groupBy(key).agg(F.count("*").alias("hot_n")).filter(F.col("hot_n") > often).select(key)
+    names = [c for c in values.columns if c != key]
+    sent = values.join(F.broadcast(hot), key).select(key, F.struct(*names).alias("hot_values"))
+    met = rows.join(F.broadcast(sent), key, "left")
+    # a row whose value is known goes on under a key of its own, which deals it out and meets nothing
+    own = F.when(F.col("hot_values").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns))
+    dealt = met.withColumns({"hot_key": own, "hot_own": F.col("hot_values").isNotNull()})
+    cold = values.select(F.col(key).alias("hot_key"), F.lit(False).alias("hot_own"), F.struct(*names).alias("hot_cold"))
+    out = dealt.join(cold, ["hot_key", "hot_own"], "left")
+    return out.select(*rows.columns, *[F.coalesce(F.col(f"hot_values.{n}"), F.col(f"hot_cold.{n}")).alias(n) for n in names])
+
+
 def sliced(batches: Iterator[pa.RecordBatch], by: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about that many bytes of the column, at least one row each."""
     for batch in batches:

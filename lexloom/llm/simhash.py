@@ -10,7 +10,8 @@ Links between fingerprints are closed by alternating large-star and small-star r
 Defined cases: words are split at ASCII white space; a null or wordless text has fingerprint zero, linked
 like any other; fewer than three words are one shingle; rows with one doc_id are fingerprinted each, and
 a null doc_id counts as the largest (component_id is null if all of a component's are); columns beside
-the id and text play no part. keep_one() goes by texts: rows that share an id, or have none, are told apart.
+the id and text play no part; an empty table gives an empty result; a text of any length is fingerprinted whole, CHUNK
+shingles at a time. Fingerprints that very many rows share are met by a bounded broadcast. keep_one() goes by texts: rows that share an id, or have none, are told apart.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, checkpointed, columns, sliced, table
+from .common import as_bytes, checkpointed, columns, sliced, table, with_values
 
 SHINGLE, SEED, DISTANCE, BLOCK_BITS, HOT = 3, 42, 2, 16, 64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -66,12 +67,12 @@ def near_pairs(prints: DataFrame, hot: int = HOT) -> DataFrame:
     """prints: distinct fp -> links (a, b) that connect the same fingerprints as all pairs within DISTANCE would."""
     blocks = [F.shiftrightunsigned("fp", k * BLOCK_BITS).bitwiseAND((1 << BLOCK_BITS) - 1) for k in range(64 // BLOCK_BITS)]
     keys = [F.struct(F.lit(n).cast("byte").alias("kind"), F.shiftleft(blocks[i], BLOCK_BITS).bitwiseOR(blocks[j]).alias("key")) for n, (i, j) in enumerate(itertools.combinations(range(len(blocks)), len(blocks) - DISTANCE))]
-    met = prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.kind", "k.key")
-    sizes = met.groupBy("kind", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    crowded = checkpointed(met.join(sizes, ["kind", "key"]))
+    met = prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", F.shiftleft(F.col("k.kind").cast("long"), 2 * BLOCK_BITS).bitwiseOR(F.col("k.key")).alias("key"))
+    sizes = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    crowded = checkpointed(with_values(met, sizes, "key").filter("n > 1"))
     few, many = crowded.filter(F.col("n") <= hot), crowded.filter(F.col("n") > hot).select("fp").distinct()
-    other = few.select("kind", "key", F.col("fp").alias("b"))
-    cold = few.select("kind", "key", F.col("fp").alias("a")).join(other, ["kind", "key"]).filter("a < b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).select("a", "b")
+    other = few.select("key", F.col("fp").alias("b"))
+    cold = few.select("key", F.col("fp").alias("a")).join(other, "key").filter("a < b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).select("a", "b")
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")) for k in range(64)])
     points = many.select("fp", F.explode(flips).alias("point"))
     least = F.min("fp").over(Window.partitionBy("point"))
@@ -118,7 +119,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = checkpointed(fingerprints(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "fp"))
     prints = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     classes = prints.join(roots_of(prints), "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
-    return rows.join(classes, "fp")
+    return with_values(rows, classes, "fp")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,7 +132,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text -> doc_id (LAST for null), text_hash, root: the fingerprint that stands for all that the row's own one reaches."""
     rows = checkpointed(fingerprints(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))))
     found = components(near_pairs(rows.select("fp").distinct())).withColumnRenamed("node", "fp")
-    return rows.join(found, "fp", "left").select("doc_id", "text_hash", F.coalesce("root", "fp").alias("root"))
+    return with_values(rows.select("doc_id", "text_hash", "fp"), found, "fp").select("doc_id", "text_hash", F.coalesce("root", "fp").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: Callable[[DataFrame], DataFrame] = classes) -> DataFrame:
@@ -140,10 +141,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cl
     Rows are told apart by their own class, so different texts stay even where ids are null or shared.
     """
     least = classes(columns(docs, doc_id=id_col, text=text_col)).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
-    kept = least.select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__hash"))
-    rows = docs.withColumns({"__id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)), "__hash": F.xxhash64(F.col(f"`{text_col}`"))}).join(kept, ["__id", "__hash"], "left_semi")
-    order = F.struct(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
-    return rows.groupBy("__id", "__hash").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("__row")).select("__row.*")
+    kept = least.select(F.col("x.doc_id").alias("d"), F.col("x.text_hash").alias("t"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(F.col(f"`{text_col}`")).alias("t"), whole.alias("row")).join(kept, ["d", "t"], "left_semi")
+    order = F.struct(*[F.col(f"row.`{f.name}`") if _orderable(f.dataType) else F.to_json(F.struct(f"row.`{f.name}`")) for f in docs.schema.fields])
+    return rows.groupBy("d", "t").agg(F.min_by("row", order).alias("row")).select("row.*")
+
+
+def _orderable(kind: T.DataType) -> bool:
+    """Whether Spark can sort by it: no map or variant within."""
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    return _orderable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from lexloom.llm import decontaminate, language, licenses, lines, pieces, quality, similar, simhash, surrogates, toxicity, url_filter
+from lexloom.llm import common, decontaminate, language, licenses, lines, pieces, quality, similar, simhash, surrogates, toxicity, url_filter
 from lexloom.llm.common import crc_mod
 from pyspark.sql import functions as F
 
@@ -310,6 +310,55 @@ def test_language(spark):
     assert min((code[a] != code[b]).sum() for a, b in itertools.combinations(range(9), 2)) >= 8
 
 
+def plain_language(train, text):
+    """(language, score) from the definition, trigram by trigram."""
+    import math
+
+    def grams(t):
+        raw = b" " + t.lower().encode("utf-8", "replace").translate(language.LETTERS) + b" "
+        return [((raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - language.BUCKETS_LOG2 for k in range(len(raw) - 2)]
+
+    if not text or not re.search(r"[^\W\d_]", text):
+        return "und", 0.0
+    counts = {}
+    for t, lang in train:
+        if t is not None and lang is not None:
+            for g in grams(t):
+                counts.setdefault(lang, {}).setdefault(g, 0)
+                counts[lang][g] += 1
+    langs = sorted(counts)
+    code = language.codewords(len(langs))
+    own = grams(text)
+    share = [{g: n / sum(c.values()) for g, n in c.items()} for c in map(counts.get, langs)]
+    every = {g for c in counts.values() for g in c} | set(own)
+    margins, worth = [], []
+    for j in range(code.shape[1]):
+        yes, no = ([share[k] for k in range(len(langs)) if code[k, j] == b] for b in (1, -1))
+        p = {g: sum(s.get(g, 0) for s in yes) / len(yes) + language.SMOOTHING for g in every}
+        q = {g: (sum(s.get(g, 0) for s in no) / len(no) if no else 1 / language.BUCKETS) + language.SMOOTHING for g in every}
+        margins.append(sum(math.log(p[g] / q[g]) for g in own) / len(own))
+        worth.append(sum((p[g] - q[g]) * math.log(p[g] / q[g]) for g in every))
+    loss = [sum(w / sum(worth) * math.log1p(math.exp(-max(-50, min(50, language.SHARPNESS * c * m)))) for c, m, w in zip(row, margins, worth, strict=True)) for row in code.tolist()]
+    near = [math.exp(min(loss) - x) for x in loss]
+    best = loss.index(min(loss))
+    return langs[best], near[best] / sum(near)
+
+
+def test_language_against_plain(spark, monkeypatch):
+    rng = random.Random(51)
+    letters = {"aa": "abcde ", "bb": "cdefg ", "cc": "efghi ", "dd": "abghé ", "ee": "xyzab ", "ff": "klmno "}
+    monkeypatch.setattr(language, "HELD", 2)
+    for n in (2, 6):
+        train = [("".join(rng.choices(letters[lang], k=60)), lang) for lang in list(letters)[:n] for _ in range(4)] + [(None, "aa"), ("abc", None)]
+        train += train[:2]
+        book = language.learn(spark.createDataFrame(train, "text string, lang string").repartition(3))
+        for text in [None, "", "12 3", "abab", "é", "gh" * 30, *["".join(rng.choices("abcdefghixyz é", k=50)) for _ in range(30)]]:
+            lang, score, *_ = book.decode(text)
+            assert (lang, score) == (plain_language(train, text)[0], pytest.approx(plain_language(train, text)[1], abs=1e-5))
+    few = language.learn(spark.createDataFrame([("abc" * (k + 1), f"l{k:02}") for k in range(20)], "text string, lang string"), languages=5)
+    assert few.langs == [f"l{k}" for k in range(15, 20)]
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     texts, marks = [], []
@@ -498,6 +547,21 @@ def test_simhash(spark):
     assert simhash.keep_one(twice.union(twice)).count() == 1
 
 
+def test_keep_one_takes_all_columns(spark):
+    more = docs(spark, ["x y z", "x y z", "other"]).withColumns({"__id": F.lit(1), "d": F.lit(2), "row": F.lit(3), "a.b": F.lit(4), "m": F.create_map(F.lit("k"), F.lit(1)), "s": F.struct(F.create_map(F.lit("k"), F.lit(1)).alias("m"))})
+    kept = simhash.keep_one(more.union(more))
+    assert kept.columns == more.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("hot", [1, 5, 1000])
+def test_with_values(spark, hot):
+    rng = random.Random(52)
+    rows = [(k, rng.choice([1, 1, 1, 2, 3, 4, 5, None])) for k in range(60)]
+    values = {1: "a", 2: None, 3: "c", 9: "x"}
+    got = common.with_values(spark.createDataFrame(rows, "n long, k long"), spark.createDataFrame(list(values.items()), "k long, v string"), "k", hot)
+    assert sorted((r.n, r.k or 0, r.v or "") for r in got.collect()) == sorted((n, k or 0, values.get(k) or "") for n, k in rows)
+
+
 def test_keep_one_goes_by_texts(spark):
     rng = random.Random(21)
     texts = [prose(rng, 40) for _ in range(6)]
