@@ -60,6 +60,12 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Keys more frequent than the number of rows over HOT_KEYS are at most so many; with fewer than HOT_ROWS rows a key isn't hot.
 HOT_KEYS, HOT_ROWS = 50_000, 100
 

@@ -623,6 +623,81 @@ def test_pipeline_near_dedup(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_similar(texts)))
 
 
+def one_edit(a, b):
+    if len(a) < len(b):
+        a, b = b, a
+    k = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(b))
+    return len(a) - len(b) <= 1 and (a[k + 1 :] == b[k:] if len(a) > len(b) else a[k + 1 :] == b[k + 1 :])
+
+
+def brute_pipeline(rows, items):
+    """doc_id -> ids, from rows (doc_id, text, lang): each stage by its plain version."""
+    import sentencepiece
+
+    def good(text, lang):
+        n, chars, _, _, repeated = brute_quality(text)
+        a, b, c, d, e, f = brute_measures(text)
+        band = quality.BANDS[lang]
+        return n >= 50 and 100 * repeated <= 50 * n and band.chars_per_token[0] <= a <= band.chars_per_token[1] and f >= band.chars_per_byte_level_token and band.tokens_per_word[0] <= b <= band.tokens_per_word[1] and c <= band.byte_share and d >= band.entropy and e <= band.top_share
+
+    kept = [(k, t) for k, t, lang in rows if good(t, lang)]
+    first = {}
+    for k, t in kept:
+        for at, x in enumerate(t.split("\n")):
+            if x.strip(" \t\n\r\x0b\x0c"):
+                first.setdefault(x, (k, at))
+    by_size = {}
+    for x in first:
+        by_size.setdefault(len(x), []).append(x)
+    near = {x for x in first if any(first[y] < first[x] and one_edit(x, y) for n in (-1, 0, 1) for y in by_size.get(len(x) + n, []) if y != x)}
+    lined = [(k, "\n".join(x for at, x in enumerate(t.split("\n")) if not x.strip(" \t\n\r\x0b\x0c") or first[x] == (k, at) and x not in near)) for k, t in kept]
+    roots = brute_similar([t for _, t in lined])
+    lone = [lined[k] for k in sorted(set(roots))]
+    bad = {d for d, _ in plain_leaks([t for _, t in lone], items)}
+    model = sentencepiece.SentencePieceProcessor(model_file=f"{quality.TOKENIZERS}/{quality.MODEL}")
+    return [len(kept), len([1 for _, t in lined if t]), len(lone), len(bad)], {k: model.encode(t) for n, (k, t) in enumerate(lone) if n not in bad}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(61)
+    own = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 4000").orderBy("doc_id").limit(90).collect()
+    items = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").limit(15).collect()]
+    rows = [(r.text, r.lang) for r in own]
+    for text, lang in rng.sample(rows[:60], 25):  # copies with a few words changed, on lines of their own, and passages of the benchmark
+        words = (text or "").replace("\n", " ").split(" ")
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(len(words))] = "changed"
+        rows.append((" ".join(words), lang))
+    rows += [(f"{t[: len(t) // 2]} {rng.choice(items)} {t[len(t) // 2 :]}", lang) for t, lang in rng.sample([r for r in rows[:60] if r[0]], 12)]
+    rows += [rows[3], rows[4], (None, "en"), ("", "en")]
+    made = [(k, t, lang) for k, (t, lang) in enumerate(rows)]
+    spark.createDataFrame([(k, t, lang, "s", len(t or "")) for k, t, lang in made], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sizes, want = brute_pipeline(made, items)
+    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want and len(want) > 30
+    assert sizes[0] > sizes[2] > len(want) and sizes[3] > 3
+    empty = f"{tmp_path}/none"
+    spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_stages_take_odd_tables(spark):
+    """Each stage with nulls, empty and long texts, repeated rows, columns of clashing names, and no rows."""
+    import corpus_pipeline
+
+    names = ["d", "t", "h", "g", "fp", "row", "__id", "mask", "hash", "text_hash", "item_id", "root", "a.b"]
+    odd = docs(spark, [*EDGE, "word " * 30_000, "long line " * 9_000]).drop("h", "fp").withColumns({n: F.lit(n) for n in names})
+    odd = odd.union(odd).union(odd.withColumn("doc_id", F.lit(None).cast("long")))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, "/root/testdata/sf0.001")
+        assert name == "sentencepiece" or out.columns == odd.columns
+        assert out.count() <= odd.count() and stage(spark, odd.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
 def test_crowded_blocks_lose_no_link(spark):
     rng = random.Random(9)
     prints = {0}
