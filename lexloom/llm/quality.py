@@ -112,6 +112,25 @@ def _byte_level(path: str):
     return tiktoken.Encoding("byte_level", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+class Lengths(dict):
+    """word -> its byte-level tokens; forgets when it has grown large."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.encode = _byte_level(path).encode_ordinary
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = n = len(self.encode(f" {word}"))
+        return n
+
+
+@cache
+def _lengths(path: str) -> Lengths:
+    return Lengths(path)
+
+
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -124,7 +143,7 @@ def measured(texts: list[bytes], tokenizers: str) -> tuple[np.ndarray, np.ndarra
         ids.append(np.fromiter((places.setdefault(w, len(places)) for w in words), np.int64, len(words)))
         base.append((len(words), len(b"".join(words).decode("utf-8", "replace")), len(text) - len(text.translate(None, SYMBOLS)), repeated_lines(text), repeated_words(words)))
     words = [w.decode("utf-8", "replace") for w in places]
-    others = np.array([len(x) for x in _byte_level(os.path.join(tokenizers, BYTE_MODEL)).encode_ordinary_batch([f" {w}" for w in words], num_threads=1)], np.int64)
+    others = np.fromiter(map(_lengths(os.path.join(tokenizers, BYTE_MODEL)).__getitem__, words), np.int64, len(words))
     coded = model.encode(words, num_threads=1)
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     flat = np.fromiter((t for c in coded for t in c), np.int64, int(sizes.sum()))
