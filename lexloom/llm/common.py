@@ -70,12 +70,12 @@ def removed(spark: SparkSession, path: str) -> None:
 HOT_KEYS, HOT_ROWS = 50_000, 100
 
 
-def with_values(rows: DataFrame, values: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_values(rows: DataFrame, values: DataFrame, key: str, hot_rows: int = HOT_ROWS, total: int | None = None) -> DataFrame:
     """rows left-joined with values, which have each key once; hot keys' values are broadcast, so that no key gathers its rows in one task.
 
-    The names of neither may begin with ``hot_``.
+    The names of neither may begin with ``hot_``. ``total``: about how many rows there are, if that is known.
     """
-    often = max(hot_rows, rows.count() // HOT_KEYS)
+    often = max(hot_rows, (rows.count() if total is None else total) // HOT_KEYS)
     hot = rows.groupBy(key).agg(F.count("*").alias("hot_n")).filter(F.col("hot_n") > often).select(key)
     names = [c for c in values.columns if c != key]
     sent = values.join(F.broadcast(hot), key).select(key, F.struct(*names).alias("hot_values"))

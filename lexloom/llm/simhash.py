@@ -84,22 +84,23 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links (a, b) -> node, root: the least node it reaches. Nodes without links are left out.
 
     Large-star and small-star rounds: each keeps the components and shortens paths; it ends when every
-    node hangs on its root. A round's tables are written to the checkpoint folder.
+    node hangs on its root. A round's tables are written to the checkpoint folder. A node that very many
+    links share is met by a bounded broadcast.
     """
     edges = checkpointed(links.filter("a <> b"))
-    before = None
+    before, total = None, edges.count()
     for _ in range(most_rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
+        large = with_values(both, least, "u", total=2 * total).filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("v").alias("b")), F.struct(F.col("m").alias("a"), F.col("u").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
+        small = with_values(down, low, "u", total=total).select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("v").alias("b")), F.struct(F.col("m").alias("a"), F.col("u").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
         edges = checkpointed(small)
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == before:
             break
-        before = after
+        before, total = after, after[0]
     else:
         raise RuntimeError(f"components are still open after {most_rounds} rounds")
     roots = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
