@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Everything that Python strips from a text's ends.
 BLANK = r"[\x09-\x0D\x1C-\x20\x85\xA0  -     　]"
+#: As BLANK, without the space.
+BUT_SPACE = BLANK.replace(r"\x1C-\x20", r"\x1C-\x1F")
 INLINE = r"[ \t   -   　]"
 
 
@@ -32,7 +34,8 @@ def drop_page_lines(text: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """Single spaces, no blank ends, lower case; empty for null."""
-    return F.lower(stripped(F.regexp_replace(F.coalesce(text, F.lit("")), f"{BLANK}+", " ")))
+    single = F.regexp_replace(F.coalesce(text, F.lit("")), f"{BLANK}{{2,}}|{BUT_SPACE}", " ")  # lone spaces are left alone
+    return F.lower(F.trim(single))
 
 
 def fingerprint(*texts: Column) -> Column:

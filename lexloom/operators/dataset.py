@@ -61,9 +61,11 @@ def deduplicate(samples: DataFrame, *columns: str, order: str = "pos") -> DataFr
     all rows share is no burden; texts are then kept by a semi-join.
     """
     names = columns or ("instruction", "text", "response")
-    own = samples.withColumns({"__fp": T.fingerprint(*[F.col(c) for c in names]), "__row": F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in samples.columns])))})
-    first = own.groupBy("__fp").agg(F.min(F.struct(F.col(order).alias("o"), F.col("__row").alias("r"))).alias("x")).select("__fp", F.col("x.o").alias("__o"), F.col("x.r").alias("__r"))
-    return own.join(first, (own["__fp"] == first["__fp"]) & (F.col(order) == F.col("__o")) & (F.col("__row") == F.col("__r")), "left_semi").drop("__fp", "__row")
+    maps = {f.name for f in samples.schema.fields if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString()}
+    row = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if c in maps else F.col(f"`{c}`") for c in samples.columns])
+    own = samples.withColumn("__row", row)
+    first = own.groupBy(T.fingerprint(*[F.col(c) for c in names]).alias("fp")).agg(F.min(F.struct(F.col(order).alias("o"), F.col("__row").alias("r"))).alias("x")).select(F.col("x.o").alias("__o"), F.col("x.r").alias("__r"))
+    return own.join(first, (F.col(order) == F.col("__o")) & (F.col("__row") == F.col("__r")), "left_semi").drop("__row")
 
 
 def shuffled(samples: DataFrame, seed: int = 42, order: str = "pos") -> DataFrame:
