@@ -7,8 +7,10 @@ it has both ways is one where it is capitalised within a sentence. So a copy in
 found, and any name, of several words too, may stand in a name's place. Words are known by BUCKETS hashes.
 
 Windows of five template words, two of them no placeholders, are hashed. Of an item with n windows the
-rarest n - ceil(0.8 n) + 1 are its keys: a document that holds 0.8 of them holds one of these. Documents'
-windows meet the keys in a hash join; documents and items that met are then compared on all windows, so that
+rarest n - ceil(0.8 n) + 1 are its keys, going by their rarest word in a sample of the documents: a document that holds
+0.8 of them holds one of these. A document that holds a key holds all its literal words, so only documents
+with all plain words of some key are cut into windows, as long as there are at most FILTER_KEYS keys and each has a plain
+word; else all are. Documents' windows meet the keys in a hash join; documents and items that met are then compared on all windows, so that
 a window which many items share brings no pairs of its own. A document leaks an item if at one alignment, or within
 a fifth of the item's length of one (words put in or left out), at least 0.8 of the item's windows match and the slots
 are consistent: one value in the item stands for one value in the document, and the other way round.
@@ -34,6 +36,10 @@ WINDOW, SHARE, LITERALS, SHORTEST = 5, 0.8, 2, 3
 BUCKETS = 1 << 20
 #: Rows of 16 to 24 bytes up to which keys and candidates are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Words of these letters are plain: lower() makes them the same in any place, and nothing that it makes into another letter stands beside them.
+PLAIN = "a-zß-öø-ÿ"
+#: Keys up to which documents are first sorted out by their words, and one document in SAMPLE tells which words are rare. Neither alters what is found.
+FILTER_KEYS, SAMPLE = 20_000, 32
 NUMBER_WORDS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
 ).split()
@@ -142,6 +148,26 @@ def sent(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def plain_words(text: Column) -> Column:
+    """Every run of plain letters; all words of the text that are plain are among them."""
+    return F.split(F.lower(text), f"[^{PLAIN}]+")
+
+
+def holding(rows: DataFrame, keys: DataFrame, most: int) -> DataFrame:
+    """rows: text; keys: words, the rarest first. The rows that hold all words of some key; all rows if there are over ``most`` keys or one has no words."""
+    listed = keys.select("words").distinct().limit(most + 1).collect()
+    if len(listed) > most or not all(r.words for r in listed):
+        return rows
+    by_first: dict[str, list[str]] = {}
+    for r in listed:
+        by_first.setdefault(r.words[0], []).append("array({})".format(", ".join(f"'{w}'" for w in r.words)))
+    if not by_first:
+        return rows.limit(0)
+    known = "map({})".format(", ".join(f"'{w}', array({', '.join(x)})" for w, x in by_first.items()))
+    firsts = ", ".join(f"'{w}'" for w in by_first)
+    return rows.filter(F.expr(f"get(transform(array(split(lower(text), '[^{PLAIN}]+')), t -> exists(filter(t, w -> w IN ({firsts})), w -> exists(element_at({known}, w), k -> forall(k, x -> array_contains(t, x))))), 0)"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = SHARE, most: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, text_hash, item_id, share, first_word, changed (the values differ from the item's): a row per leaking pair."""
     items = columns(items, item_id=item_col, text=item_text).filter("text is not null").withColumn("item_text", F.xxhash64("text")).dropDuplicates(["item_id", "item_text"])
@@ -149,14 +175,14 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     names = Names(items.select("text"))
     listed = stored(windowed(items, names, "item_id", "item_text").select("item_id", "item_text", "at", "hash", "template", F.col("values").alias("own")), "benchmark")
     sizes = listed.groupBy("item_id", "item_text").agg(F.count("*").alias("n_windows"))
-    keys, few = keys_of(listed, sizes, share), stored(short_items(items, sizes), "short-items")
-    met = rows.select("doc_id", "text_hash", F.explode(window_hashes(names)).alias("hash"))
-    keys = stored(keys, "keys")
-    candidates = stored(met.join(sent(keys, keys.count(), most), "hash").select("doc_id", "text_hash", "item_id", "item_text").distinct(), "candidates")
+    keys, few = stored(keys_of(listed, sizes, share, rows), "keys"), stored(short_items(items, sizes), "short-items")
+    met = holding(rows, keys, min(most, FILTER_KEYS)).select("doc_id", "text_hash", F.explode(window_hashes(names)).alias("hash"))
+    candidates = stored(met.join(sent(keys.drop("words"), keys.count(), most), "hash").select("doc_id", "text_hash", "item_id", "item_text").distinct(), "candidates")
     held = candidates.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
-    texts = rows.join(sent(held, candidates.count(), most), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    pairs = candidates.count()
+    texts = rows.join(sent(held, pairs, most), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
     found = windowed(texts, names, "doc_id", "text_hash").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("at").alias("place"), "word", "hash", F.col("values").alias("found"))
-    both = found.join(candidates, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).join(listed, ["item_id", "item_text", "hash"]).join(sizes, ["item_id", "item_text"])
+    both = found.join(sent(candidates, pairs, most), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).join(listed, ["item_id", "item_text", "hash"]).join(sizes, ["item_id", "item_text"])
     good = aligned(both, share)
     key = ["doc_id", "text_hash", "item_id", "item_text"]
     best = good.groupBy(*key).agg(F.max(F.struct("n", (-F.col("word")).alias("back"), (F.col("n") / F.col("n_windows")).alias("share"), F.expr("exists(slots, x -> x.own <> x.found)").alias("changed"))).alias("b"))
@@ -164,12 +190,21 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     return out if few.isEmpty() else out.union(short_leaks(rows, few))
 
 
-def keys_of(listed: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
-    """hash, item_id, item_text: of each item so many of its rarest windows that a match holds one of them."""
+def keys_of(listed: DataFrame, sizes: DataFrame, share: float, rows: DataFrame) -> DataFrame:
+    """hash, item_id, item_text, words: of each item so many of its windows that a match holds one of them, those with the rarest words. words: the plain ones, the rarest first.
+
+    rows: text, text_hash. How many of a sample of them hold a word only sets the order.
+    """
     often = listed.groupBy("hash").agg(F.count("*").alias("times"))
-    order = Window.partitionBy("item_id", "item_text").orderBy("times", "hash", "at")
-    ranked = listed.join(often, "hash").withColumn("nth", F.row_number().over(order)).join(sizes, ["item_id", "item_text"])
-    return ranked.filter(F.col("nth") <= F.col("n_windows") - F.ceil(F.col("n_windows") * share - 1e-9) + 1).select("hash", "item_id", "item_text").distinct()
+    own = listed.select("hash", F.explode(F.array_distinct("template")).alias("word")).filter(F.col("word").rlike(f"^[{PLAIN}]+$")).distinct()
+    sample = rows.filter(F.pmod("text_hash", F.lit(SAMPLE)) == 0).select(F.explode(F.array_distinct(plain_words(F.col("text")))).alias("word"))
+    held = sample.groupBy("word").agg(F.count("*").alias("held"))
+    words = own.join(held, "word", "left").groupBy("hash").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), (-F.length("word")).alias("short"), "word"))).alias("w"))
+    known = listed.join(often, "hash").join(words, "hash", "left").join(sizes, ["item_id", "item_text"])
+    order = Window.partitionBy("item_id", "item_text").orderBy(F.expr("w[0].held").asc_nulls_last(), "times", "hash", "at")
+    ranked = known.withColumn("nth", F.row_number().over(order))
+    chosen = ranked.filter(F.col("nth") <= F.col("n_windows") - F.ceil(F.col("n_windows") * share - 1e-9) + 1)
+    return chosen.select("hash", "item_id", "item_text", F.coalesce(F.col("w.word"), F.array().cast("array<string>")).alias("words")).distinct()
 
 
 def aligned(both: DataFrame, share: float) -> DataFrame:
@@ -197,9 +232,10 @@ def short_leaks(rows: DataFrame, few: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, [of(r.n) for r in few.select("n").distinct().orderBy("n").collect()])
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, that leak no item."""
-    bad = leaks(docs, items, id_col, text_col).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
+def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs, with all columns, that leak no item. The leaking ones are broadcast up to ``most``, so that the texts needn't be shuffled."""
+    bad = stored(leaks(docs, items, id_col, text_col, most=most).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct(), "leaks")
+    bad = sent(bad, bad.count(), most)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.join(bad, F.col(f"row.`{id_col}`").eqNullSafe(F.col("d")) & (F.xxhash64(F.col(f"row.`{text_col}`")) == F.col("t")), "left_anti").select("row.*")
 

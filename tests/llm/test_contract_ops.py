@@ -205,6 +205,39 @@ def test_decontamination_against_plain(spark):
     assert got == plain_leaks(texts, items) and 20 < len(got) < 120
 
 
+def test_decontamination_sorts_out_by_words(spark, monkeypatch):
+    rng = random.Random(31)
+    odd = "L'été où la KelvinK çà «garçon» naïve x9y 5kilos óu ÉCOLE straße ΣΑΣ"
+    items = [f"{prose(rng, 3)} {odd} {prose(rng, 20)}", "Σας λέω ότι όλα είναι εντάξει εδώ σήμερα", f"{prose(rng, 8)} 5 km {prose(rng, 8)}", QUESTION]
+    near = [items[0].upper(), items[0].lower(), items[0].replace(" ", " -- ").replace("naïve", "nouveau"), items[1], items[2].replace(" ", ", "), f"<<{QUESTION}>>"]
+    texts = [None, "", *near, *(f"x {t} 7" for t in near), *(prose(rng, 60) for _ in range(20)), *(" ".join(f"word{k}" for k in range(j, j + 50)) for j in range(9))]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = []
+    for bench in (table, table.filter("item_id <> 1")):  # one of the items has no plain words
+        for most in (decontaminate.FILTER_KEYS, 0):
+            monkeypatch.setattr(decontaminate, "FILTER_KEYS", most)
+            got.append({tuple(r) for r in decontaminate.leaks(docs(spark, texts), bench).collect()})
+        monkeypatch.undo()
+    assert got[0] == got[1] and got[2] == got[3] and {r[2] for r in got[0]} == {0, 1, 2, 3} and len(got[2]) >= 8
+    keys = spark.createDataFrame([(["gamma", "kilos"],), (["apples", "fruit"],)], "words array<string>")
+    rows = spark.createDataFrame([(t,) for t in ("Gamma, 5Kilos", "gamma kiloss", "FRUIT.apples", "fruit", None, "")], "text string")
+    assert [r.text for r in decontaminate.holding(rows, keys, 9).collect()] == ["Gamma, 5Kilos", "FRUIT.apples"]
+    assert decontaminate.holding(rows, keys, 1).count() == 6 and decontaminate.holding(rows, keys.limit(0), 9).count() == 0
+
+
+def test_drop_leaks_leaves_texts_where_they_are(spark):
+    """However large the leaking rows' ids are for Spark's own bound, the texts aren't shuffled to drop them."""
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        bench = spark.createDataFrame([(0, QUESTION)], "item_id long, text string")
+        kept = {most: decontaminate.drop_leaks(docs(spark, ["a b", QUESTION, None]), bench, most=most) for most in (decontaminate.BROADCAST_ROWS, 0)}
+        assert [sorted(r.doc_id for r in x.collect()) for x in kept.values()] == [[0, 2]] * 2
+        assert "SortMergeJoin" not in kept[decontaminate.BROADCAST_ROWS]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+
+
 # --- 3
 
 def test_url_filter(spark):
