@@ -31,7 +31,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: those linked by a similarity of 0.8 or more over five-word shingles."""
+    """One document of each group of near-duplicates stays: those linked by a similarity of 0.8 or more over five-word shingles.
+
+    SimHash fingerprints bring close copies together, an exact join the pairs that lie further apart than their two bits.
+    """
     return simhash.keep_one(docs, classes=similar.classes)
 
 

@@ -1,7 +1,12 @@
-"""Near-dedup by Jaccard similarity of word shingles: an exact join by prefixes, Hamming bounds, verified sets, components.
+"""Near-dedup by SimHash, then by an exact join by prefixes: pigeonhole blocks, Hamming bounds, verified sets, components.
 
-A text is the set of its shingles of five words (fewer words are one shingle), each as its 64-bit hash. In any one
-order of all shingles, two sets of similarity s share one of the first n - ceil(s * n) + 1 shingles of
+A text is the set of its shingles of five words (fewer words are one shingle), each as its 64-bit hash. Its SimHash
+fingerprint has a bit if over half of these have it. Fingerprints two bits apart at most meet in blocks, as in simhash.py; sets
+whose fingerprints do are verified by their similarity, and the links that hold are closed to classes. That brings together
+close copies, also where they crowd, but not all pairs at the similarity: most of those lie further apart than two bits, and
+a distance that took in all would leave blocks too small to tell texts apart. So sets of different classes go on to an exact join.
+
+In any one order of all shingles, two sets of similarity s share one of the first n - ceil(s * n) + 1 shingles of
 each; sets that share such a one, and whose sizes and places allow s, meet and are verified on the whole
 sets. So every pair at s or more is found, none below, whatever the order. It is by hash, but shingles that about
 HOT sets or more hold, going by a sample, come last, the more common the later, so that a passage that many texts
@@ -32,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, checkpointed, columns, sliced, with_values
-from .simhash import LAST, LOWER, SEED, components
+from .simhash import CHUNK, LAST, LOWER, SEED, components, near_pairs
 
 SHINGLE, SIMILARITY, HOT, LEADERS, SKETCH = 5, 0.8, 64, 3, 4
 #: Sets meet by the upper bits of a shingle's hash. One set in SAMPLE tells which shingles are common; at most so many are told apart.
@@ -77,20 +82,28 @@ def sketch_of(own: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(own & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
+def simhash_of(own: np.ndarray) -> int:
+    """64 bits: whether over half of the shingles have each."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(own), CHUNK):
+        total += np.unpackbits(own[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(own)).view(np.int64)[0])
+
+
 BITS = [f"s{k}" for k in range(SKETCH)]
 
 
 def prints(texts: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_hash, fp (a hash of the set), n (its size) and the fingerprint."""
-    names = ["doc_id", "text_hash", "fp", "n", *BITS]
+    """doc_id, text_hash, fp (a hash of the set), n (its size), its SimHash and the fingerprint of parities."""
+    names = ["doc_id", "text_hash", "fp", "n", "simhash", *BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             sets = [shingles(t, width) for t in as_bytes(batch, "text")]
             sketches = np.stack([sketch_of(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(list(map(print_of, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int32()), *(pa.array(sketches[:, k]) for k in range(SKETCH))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(list(map(print_of, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(simhash_of, sets)), pa.int64()), *(pa.array(sketches[:, k]) for k in range(SKETCH))], names=names)
 
-    return texts.mapInArrow(run, "doc_id long, text_hash long, fp long, n int, " + ", ".join(f"{b} long" for b in BITS))
+    return texts.mapInArrow(run, "doc_id long, text_hash long, fp long, n int, simhash long, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def common_shingles(texts: DataFrame, width: int, hot: int) -> np.ndarray:
@@ -179,25 +192,37 @@ def verified(pairs: DataFrame, texts: DataFrame, places: DataFrame, width: int,
     return checkpointed(both.filter(common / (F.size("sa") + F.size("sb") - common) >= similarity).select("a", "b").distinct())
 
 
+def simhash_links(sets: DataFrame, texts: DataFrame, places: DataFrame, width: int, similarity: float) -> DataFrame:
+    """sets: fp, simhash -> links (a, b) between alike sets whose SimHash fingerprints meet. Of the sets of one fingerprint the least stands for the others."""
+    firsts = checkpointed(sets.groupBy("simhash").agg(F.min("fp").alias("first")))
+    same = with_values(sets.select("fp", "simhash"), firsts, "simhash").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    met = near_pairs(firsts.select(F.col("simhash").alias("fp")))
+    near = met.join(firsts.toDF("a", "x"), "a").join(firsts.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return verified(same.union(near).distinct(), texts, places, width, similarity)
+
+
 def links(texts: DataFrame, rows: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
     """texts of texts_of(), rows of prints() -> links (a, b) between fp that connect the same sets as all pairs at the similarity or more would."""
-    sets = checkpointed(rows.filter("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"), *[F.any_value(c).alias(c) for c in ("n", *BITS)]))
+    sets = checkpointed(rows.filter("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"), *[F.any_value(c).alias(c) for c in ("n", "simhash", *BITS)]))
     places = sets.select("fp", "x.doc_id", "x.text_hash")
+    dealt = simhash_links(sets, texts, places, width, similarity)
+    merged = components(dealt).withColumnRenamed("node", "fp")
+    apart = F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True))
     tokens = prefixes(texts, common_shingles(texts, width, hot), width, similarity)
     own = Window.partitionBy("token")
     shared = tokens.withColumns({"x": F.min("fp").over(own), "y": F.max("fp").over(own)}).filter("x <> y")
     met = checkpointed(shared.select("token", "fp", "place").distinct())
     crowded = checkpointed(met.groupBy("token").count().filter(F.col("count") > hot).select("token"))
-    full = met.join(sets.drop("x"), "fp")
+    full = met.join(sets.drop("x", "simhash").join(merged, "fp", "left"), "fp")
     few = full.join(crowded, "token", "left_anti")
-    cold = possible(side(few, "a"), side(few, "b"), similarity, F.col("fp_a") < F.col("fp_b"))
+    cold = possible(side(few, "a", "root"), side(few, "b", "root"), similarity, F.col("fp_a") < F.col("fp_b"), apart)
     if crowded.isEmpty():
-        return verified(cold, texts, places, width, similarity)
+        return dealt.union(verified(cold, texts, places, width, similarity))
     many = checkpointed(full.join(crowded, "token", "left_semi"))
     lead = many.withColumn("nth", F.row_number().over(own.orderBy("place", "fp"))).filter(F.col("nth") <= LEADERS)
-    found = verified(cold.union(possible(side(lead, "a"), side(many, "b"), similarity)), texts, places, width, similarity)
+    found = dealt.union(verified(cold.union(possible(side(lead, "a", "root"), side(many, "b", "root"), similarity, apart)), texts, places, width, similarity))
     roots = components(found).withColumnRenamed("node", "fp")
-    classed = checkpointed(many.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    classed = checkpointed(many.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     largest = classed.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("top"))
     rest = classed.join(largest, "token").filter("root <> top")
     open_pairs = possible(side(rest, "a", "root"), side(classed, "b", "root"), similarity, F.col("root_a") != F.col("root_b"))

@@ -648,6 +648,40 @@ def test_similar_classes(spark, hot):
     assert [least[got[k]] for k in range(len(texts))] == want and len(set(want)) > 50
 
 
+def test_near_dedup_links_by_simhash(spark, monkeypatch):
+    """The step's links are those pairs within two bits that are alike; the exact join meets no pair within a class of theirs."""
+    rng = random.Random(41)
+    texts = [None, "", "a b"]
+    for _ in range(6):
+        words = prose(rng, 400).split()
+        for _ in range(8):
+            texts.append(" ".join(words))
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+    rows = {}
+    for t in texts:
+        own = similar.shingles((t or "").encode())
+        if len(own):
+            bits = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in own) > len(own))
+            rows[similar.print_of(own)] = (bits, set(own.tolist()))
+    first = {}
+    for fp, (bits, _) in sorted(rows.items()):
+        first.setdefault(bits, fp)
+    met = {(first[bits], fp) for fp, (bits, _) in rows.items() if fp != first[bits]} | {tuple(sorted((first[x], first[y]))) for x, y in itertools.combinations(first, 2) if (x ^ y).bit_count() <= 2}
+    alike = lambda a, b: len(rows[a][1] & rows[b][1]) >= 0.8 * len(rows[a][1] | rows[b][1])
+    want = {(a, b) for a, b in met if alike(a, b)}
+    seen = []
+    plain = similar.verified
+
+    def noted(pairs, *rest):
+        out = plain(pairs, *rest)
+        seen.append(({tuple(r) for r in pairs.collect()}, {tuple(r) for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(similar, "verified", noted)
+    assert len({r.root for r in similar.classes(docs(spark, texts)).collect()}) == len(set(brute_similar(texts)))
+    assert seen[0] == (met, want) and len(want) > 10 and not want & set().union(*(x for x, _ in seen[1:]))
+
+
 def test_pipeline_near_dedup(spark):
     import corpus_pipeline
 
