@@ -20,6 +20,8 @@ Shingles that still lead more than HOT sets belong to large groups of near copie
 the fewest rarer shingles are held against all others first; then only sets of different classes meet, those
 of a shingle's largest class on one side only.
 
+Links are closed to classes on the driver up to DRIVER_LINKS of them, by rounds of joins as in simhash.py beyond.
+
 Defined cases: words are split at ASCII white space, A-Z count as a-z; texts without words, null too, have the
 empty set and are alike; equal sets are one from the start; repeated rows are one set; an empty table has no
 classes; columns beside the id and text play no part; a text of any length is one set, held in one task at a time.
@@ -44,6 +46,8 @@ SHINGLE, SIMILARITY, HOT, LEADERS, SKETCH = 5, 0.8, 64, 3, 4
 TOKEN_SHIFT, SAMPLE, MOST_COMMON = 24, 16, 4_000_000
 #: Places of sets up to which they are broadcast.
 BROADCAST_ROWS = 2_000_000
+#: Links up to which the driver closes them, 16 bytes each. Rounds of joins over so few only make tasks, files and compiled code.
+DRIVER_LINKS = 250_000
 #: Against rounding: prefixes are rather too long, and bounds too wide, than the other way round.
 SLACK = 1e-9
 
@@ -192,6 +196,31 @@ def verified(pairs: DataFrame, texts: DataFrame, places: DataFrame, width: int,
     return checkpointed(both.filter(common / (F.size("sa") + F.size("sb") - common) >= similarity).select("a", "b").distinct())
 
 
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between nodes -> the nodes, and the least node that each reaches. Roots hang on lesser ones until no link joins two."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            return nodes, nodes[root]
+        np.minimum.at(root, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+        while not np.array_equal(root, jumped := root[root]):
+            root = jumped
+
+
+def closed(links: DataFrame, most: int = DRIVER_LINKS) -> DataFrame:
+    """links (a, b) -> node, root, as components() has them, which takes over where the links are more than ``most``."""
+    if links.count() > most:
+        return components(links)
+    few = links.toArrow()
+    if not few.num_rows:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    nodes, roots = least_reached(*(few.column(c).to_numpy() for c in ("a", "b")))
+    return links.sparkSession.createDataFrame(pa.table({"node": nodes, "root": roots}), "node long, root long")
+
+
 def simhash_links(sets: DataFrame, texts: DataFrame, places: DataFrame, width: int, similarity: float) -> DataFrame:
     """sets: fp, simhash -> links (a, b) between alike sets whose SimHash fingerprints meet. Of the sets of one fingerprint the least stands for the others."""
     firsts = checkpointed(sets.groupBy("simhash").agg(F.min("fp").alias("first")))
@@ -206,7 +235,7 @@ def links(texts: DataFrame, rows: DataFrame, width: int = SHINGLE, similarity: f
     sets = checkpointed(rows.filter("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"), *[F.any_value(c).alias(c) for c in ("n", "simhash", *BITS)]))
     places = sets.select("fp", "x.doc_id", "x.text_hash")
     dealt = simhash_links(sets, texts, places, width, similarity)
-    merged = components(dealt).withColumnRenamed("node", "fp")
+    merged = closed(dealt).withColumnRenamed("node", "fp")
     apart = F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True))
     tokens = prefixes(texts, common_shingles(texts, width, hot), width, similarity)
     own = Window.partitionBy("token")
@@ -221,7 +250,7 @@ def links(texts: DataFrame, rows: DataFrame, width: int = SHINGLE, similarity: f
     many = checkpointed(full.join(crowded, "token", "left_semi"))
     lead = many.withColumn("nth", F.row_number().over(own.orderBy("place", "fp"))).filter(F.col("nth") <= LEADERS)
     found = dealt.union(verified(cold.union(possible(side(lead, "a", "root"), side(many, "b", "root"), similarity, apart)), texts, places, width, similarity))
-    roots = components(found).withColumnRenamed("node", "fp")
+    roots = closed(found).withColumnRenamed("node", "fp")
     classed = checkpointed(many.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     largest = classed.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("top"))
     rest = classed.join(largest, "token").filter("root <> top")
@@ -233,5 +262,5 @@ def classes(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARIT
     """docs: doc_id, text -> doc_id (LAST for null), text_hash, root, for simhash.keep_one()."""
     texts = texts_of(columns(docs, doc_id="doc_id", text="text"))
     rows = checkpointed(prints(texts, width))
-    found = components(links(texts, rows, width, similarity, hot)).withColumnRenamed("node", "fp")
+    found = closed(links(texts, rows, width, similarity, hot)).withColumnRenamed("node", "fp")
     return with_values(rows.select("doc_id", "text_hash", "fp"), found, "fp").select("doc_id", "text_hash", F.coalesce("root", "fp").alias("root"))

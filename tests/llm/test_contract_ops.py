@@ -682,6 +682,29 @@ def test_near_dedup_links_by_simhash(spark, monkeypatch):
     assert seen[0] == (met, want) and len(want) > 10 and not want & set().union(*(x for x, _ in seen[1:]))
 
 
+def test_few_links_are_closed_on_the_driver(spark, monkeypatch):
+    """Near-dedup of a small table goes without rounds of joins; beyond the bound on links these give the same roots."""
+    rng = random.Random(42)
+    pairs = [(rng.randint(-60, 60), rng.randint(-60, 60)) for _ in range(60)] + [(k, k + 1) for k in range(100, 160)]
+    pairs = sorted({(min(p), max(p)) for p in pairs if p[0] != p[1]})
+    up = {x: x for p in pairs for x in p}
+    for _ in up:
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    df = spark.createDataFrame(pairs, "a long, b long")
+    for most in (len(pairs), len(pairs) - 1):
+        assert sorted(map(tuple, similar.closed(df, most).collect())) == sorted(up.items())
+    assert similar.closed(df.limit(0)).collect() == []
+    texts = near_texts(random.Random(43))
+    roots = lambda: {r.doc_id: r.root for r in similar.classes(docs(spark, texts), hot=4).collect()}
+    rounds, calls = simhash.components, []
+    monkeypatch.setattr(similar, "components", lambda links: calls.append(1) or rounds(links))
+    got = roots()
+    assert not calls
+    monkeypatch.setattr(similar, "closed", similar.components, raising=False)
+    assert roots() == got and len(calls) == 3
+
+
 def test_pipeline_near_dedup(spark):
     import corpus_pipeline
 
