@@ -17,6 +17,22 @@ LARGE = 1000
 RANGES = 4096
 
 
+#: Bytes of a table's files, as they are stored, that are worth a task of their own where a row takes much work; tasks to a core.
+TASK_BYTES, TASKS_PER_CORE = 16 * 1024, 4
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows of a table dealt out evenly, by all their columns, for work that takes long on each.
+
+    Small rows are stored up to a million to a row group, which is one task of a scan however many cores there are.
+    """
+    spark = rows.sparkSession
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    most = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = min(size // TASK_BYTES + 1, most)
+    return rows.repartition(tasks, *rows.columns) if tasks > 1 else rows
+
+
 # ---- places ----
 
 

@@ -28,7 +28,7 @@ BASE = f"(SELECT {_COLUMNS} FROM customer)"
 
 
 def rows_of(spark, d: str, **columns: str) -> DataFrame:
-    base = spark.read.parquet(f"{d}/customer.parquet").selectExpr(*[c.strip() for c in _split(_COLUMNS)])
+    base = dataset.dealt(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_nationkey")).selectExpr(*[c.strip() for c in _split(_COLUMNS)])
     return base.select("*", *[F.expr(e).alias(n) for n, e in columns.items()])
 
 
@@ -150,8 +150,9 @@ def texts_with_normal_citations(spark, d):
 @query(f"SELECT k, {chosen(["'[' || y || '] UKSC ' || n", "n || ' U.S. ' || p", "'Art ' || p || ' TFEU'"])} AS normal FROM {BASE}")
 def citations_of_jurisdiction(spark, d):
     every = "'[' || y || '] UKSC ' || n || '; ' || n || ' U.S. ' || p || '; Article ' || p || ' TFEU'"
-    of = lambda code: citations.citations_of(F.col("text"), only=[code])[0]["normalised"]
-    return rows_of(spark, d, text=every).select("k", F.when(F.col("k") % 3 == 0, of("uk")).when(F.col("k") % 3 == 1, of("us")).otherwise(of("eu")).alias("normal"))
+    # Python functions of every branch see every row, so each gets only its own texts
+    of = lambda rest, code: citations.citations_of(F.when(F.col("k") % 3 == rest, F.col("text")), only=[code])[0]["normalised"]
+    return rows_of(spark, d, text=every).select("k", F.coalesce(of(0, "uk"), of(1, "us"), of(2, "eu")).alias("normal"))
 
 
 # ---- personal data: a case is a list of plain parts and of (value, placeholder) ----
