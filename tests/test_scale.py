@@ -51,5 +51,16 @@ def test_every_kind_of_anchor_gives_only_what_it_says():
         assert every and [c for tag in citations.TAGS for c in citations.parse(text, False, frozenset([tag]))] == sorted(every, key=lambda c: citations.TAGS.index(c.jurisdiction))
 
 
+def test_what_a_word_is_is_worked_out_once():
+    names._word_kind.cache_clear()
+    for _ in range(50):
+        names.persons("Mr John Smith and Mrs Jane Doe met Mr Justice Fraser.")
+    assert names._word_kind.cache_info().misses < 20
+
+
+def test_a_legal_form_after_a_blank_on_the_next_line():
+    assert pii.Anonymiser().anonymise("with Moss Trading\n Limited and more")[0] == "with [ORGANISATION_1] and more"
+
+
 def test_a_long_s_names_a_provision():
     assert [c.normalised for c in citations.parse("by the Moss Act 1998, ſ 5")] == ["Moss Act 1998, s 5"]
