@@ -51,6 +51,24 @@ def test_every_kind_of_anchor_gives_only_what_it_says():
         assert every and [c for tag in citations.TAGS for c in citations.parse(text, False, frozenset([tag]))] == sorted(every, key=lambda c: citations.TAGS.index(c.jurisdiction))
 
 
+def test_columns_over_repeated_and_missing_texts(spark):
+    texts = ["Mr Ian Moss in [2020]  uksc 1", None, "", "plain", "Mr Ian Moss in [2020]  uksc 1", None, "a@x.org A@X.org"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1)
+    got = rows.select("k", citations.citations_of(F.col("t")).alias("c"), citations.with_normal_citations(F.col("t")).alias("n"), pii.training_pairs(F.col("t")).alias("p")).orderBy("k").collect()
+    for r, t in zip(got, texts, strict=True):
+        if t is None:
+            assert (r.c, r.n, r.p) == (None, None, None)
+            continue
+        own = pii.Anonymiser()
+        assert [c.normalised for c in r.c] == [c.normalised for c in citations.parse(t)] and r.n == citations.rewritten(t, citations.parse(t, unique=False))
+        assert (r.p.text, r.p.reverse) == own.training_pair(t) and r.p.mapping == own.mapping
+
+
+def test_pairs_and_their_way_back_take_one_function(spark):
+    rows = spark.createDataFrame([("Mr Ian Moss",)], "t string").select(pii.training_pairs(F.col("t")).alias("p")).select("p.text", "p.reverse")
+    assert plan(rows).count("ArrowEvalPython") == 1
+
+
 def test_what_a_word_is_is_worked_out_once():
     names._word_kind.cache_clear()
     for _ in range(50):
