@@ -51,6 +51,18 @@ def test_every_kind_of_anchor_gives_only_what_it_says():
         assert every and [c for tag in citations.TAGS for c in citations.parse(text, False, frozenset([tag]))] == sorted(every, key=lambda c: citations.TAGS.index(c.jurisdiction))
 
 
+def test_texts_that_are_alike_are_read_once():
+    seen = []
+
+    def run(texts):
+        seen.extend(texts)
+        return pa.array([t.upper() for t in texts])
+
+    assert citations.each_once(pa.array(["a", "b", None, "a", "b"]), run).to_pylist() == ["A", "B", None, "A", "B"]
+    assert seen == ["a", "b"]
+    assert citations.each_once(pa.array(["c", "d"]), run).to_pylist() == ["C", "D"]
+
+
 def test_columns_over_repeated_and_missing_texts(spark):
     texts = ["Mr Ian Moss in [2020]  uksc 1", None, "", "plain", "Mr Ian Moss in [2020]  uksc 1", None, "a@x.org A@X.org"]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1)
