@@ -31,7 +31,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def _built(spark: SparkSession, d: str, form: str) -> DataFrame:
     """orders with o_orderkey, y (year), n (1 to 500), p (1 to 90) and a text by a SQL expression of them."""
-    base = _t(spark, d, "orders").selectExpr("o_orderkey", "o_custkey", "year(o_orderdate) AS y", "o_orderkey % 500 + 1 AS n", "o_custkey % 90 + 1 AS p")
+    base = dataset.dealt(_t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).selectExpr("o_orderkey", "o_custkey", "year(o_orderdate) AS y", "o_orderkey % 500 + 1 AS n", "o_custkey % 90 + 1 AS p")
     return base.withColumn("text", F.expr(form))
 
 

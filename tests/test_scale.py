@@ -36,6 +36,11 @@ def test_customers_of_one_row_group_are_dealt_out(spark, one_group):
     assert tasks >= 8 and largest < 60_000 / 4
 
 
+def test_orders_of_one_row_group_are_dealt_out(spark, one_group):
+    tasks, largest = shares(catalogue._built(spark, one_group, catalogue._OPINION))
+    assert tasks >= 8 and largest < 60_000 / 4
+
+
 def test_a_jurisdiction_reads_only_its_own_texts(spark, one_group, monkeypatch):
     rows = forms.QUERIES["citations_of_jurisdiction"](spark, one_group)
     eval_line = next(line for line in plan(rows).splitlines() if "ArrowEvalPython" in line)
