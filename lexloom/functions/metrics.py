@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,16 +106,18 @@ def normal_citations(text: Column, legislation: bool = True) -> Column:
     return F.transform(F.filter(citations.citations_of(text), lambda c: F.lit(legislation) | (c["type"] != "legislation")), lambda c: F.coalesce(c["normalised"], c["raw"]))
 
 
+@lru_cache(citations.HELD)
+def _canonical(text: str) -> str:
+    found = citations.parse(text)
+    return citations.normal_form(found[0]) if len(found) == 1 else " ".join(text.split())
+
+
 def canonical(expected: Column) -> Column:
     """array<string>: each text's normal form if it is one citation, else the text with single spaces."""
 
-    @F.pandas_udf("array<string>")
-    def run(rows: pd.Series) -> pd.Series:
-        def one(t: str) -> str:
-            found = citations.parse(t)
-            return citations.normal_form(found[0]) if len(found) == 1 else " ".join(t.split())
-
-        return rows.map(lambda r: None if r is None else [one(t) for t in r])
+    @F.arrow_udf("array<string>")
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else [_canonical(t) for t in r] for r in rows.to_pylist()], pa.list_(pa.string()))
 
     return run(expected)
 

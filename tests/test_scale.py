@@ -86,6 +86,11 @@ def test_pairs_and_their_way_back_take_one_function(spark):
     assert plan(rows).count("ArrowEvalPython") == 1
 
 
+def test_expected_citations_are_read_once_in_a_batch(spark):
+    rows = spark.createDataFrame([(["[2020] uksc 1", "no  case"],), (None,), ([],), (["no  case"],)], "e array<string>").coalesce(1)
+    assert [r.c for r in rows.select(metrics.canonical(F.col("e")).alias("c")).collect()] == [["[2020] UKSC 1", "no case"], None, [], ["no case"]]
+
+
 def test_what_a_word_is_is_worked_out_once():
     names._word_kind.cache_clear()
     for _ in range(50):
