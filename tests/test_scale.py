@@ -104,3 +104,10 @@ def test_a_legal_form_after_a_blank_on_the_next_line():
 
 def test_a_long_s_names_a_provision():
     assert [c.normalised for c in citations.parse("by the Moss Act 1998, ſ 5")] == ["Moss Act 1998, s 5"]
+
+
+def test_a_case_name_is_worked_out_once():
+    citations._case_at_end.cache_clear()
+    for year in range(2000, 2020):
+        assert citations.case_name(f"As held in Alpha v Beta [{year}] UKSC 1", 24) == ("Alpha v Beta", 11, 23)
+    assert citations._case_at_end.cache_info().misses == 1
